@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import decontaminate, fingerprints, html, jaccard, language, sharding, urls
+from evidara.llm import decontaminate, fingerprints, html, jaccard, language, lm, sharding, urls
 from evidara.llm.runtime import table
 
 
@@ -30,6 +30,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -39,4 +43,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_benchmark_decontamination, op5_url_filters, op6_language_id, op7_sharding, op9_document_fingerprints, op10_html_extraction)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_benchmark_decontamination, op5_url_filters, op6_language_id, op7_sharding, op8_lm_scoring, op9_document_fingerprints, op10_html_extraction)}
