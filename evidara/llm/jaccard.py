@@ -17,7 +17,8 @@ along, so copies cost nothing beyond one aggregate.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections import Counter
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -35,8 +36,12 @@ RARITY_BUCKETS = 1 << 18
 HEAVY_KEY_COST = 4.0
 #: A light bucket key also names its two sizes, as smaller * PAIR + larger.
 PAIR = 1000
+_NONE = np.empty(0, np.int64)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
+#: Document ids that may be broadcast to pick texts; with more the join shuffles.
+MOST_BROADCAST_IDS = 1 << 20
 
 
 class _WordHashes(dict):
@@ -49,23 +54,63 @@ class _WordHashes(dict):
         return value
 
 
-def shingle_set(text: str | None, width: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles of a whole text.
+def shingle_runs(texts: list[str | None], width: int, hashes: dict, most_words: int = 400_000):
+    """Yields a list of hash arrays, one a text, not yet distinct, for runs of whole texts.
 
     A-Z are lower-cased and ASCII white space separates words.  Fewer words than
-    ``width`` form one shingle; no text or no word gives an empty set.
+    ``width`` form one shingle; no text or no word gives an empty array.  A run
+    has about ``most_words`` words, or one longer text.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(h))
-    n = len(h) - k + 1
-    out = np.full(n, k, np.uint64)
+    run: list[list[bytes]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        run.append(words)
+        held += len(words)
+        if held >= most_words or i == len(texts) - 1:
+            yield _hash_run(run, held, width, hashes)
+            run, held = [], 0
+
+
+def _hash_run(run: list[list[bytes]], held: int, width: int, hashes: dict) -> list[np.ndarray]:
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(run)), np.uint64, held)
+    n = max(0, held - width + 1)
+    full = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(k):
-            out = mix64(out * _P + h[j : j + n])
-    return np.unique(out)
+        for j in range(width):
+            full = mix64(full * _P + h[j : j + n])
+    out, at = [], 0
+    for words in run:
+        if len(words) >= width:
+            out.append(full[at : at + len(words) - width + 1])
+        else:
+            short = np.full(min(1, len(words)), len(words), np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(len(words)):
+                    short = mix64(short * _P + h[at + j])
+            out.append(short)
+        at += len(words)
+    return out
+
+
+def distinct(found: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    found = np.sort(found)
+    return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
+
+
+def shingle_set(text: str | None, width: int, hashes: dict) -> np.ndarray:
+    """Sorted distinct shingle hashes of one whole text."""
+    return distinct(next(shingle_runs([text], width, hashes))[0])
+
+
+def profile(found: np.ndarray) -> bytes:
+    """How many shingles fall into each of 64 ranges of the hash.
+
+    The profiles of two sets differ by at most the sets' own difference, so a
+    pair whose profiles differ by more than a link allows is none.
+    """
+    return np.minimum(np.diff(np.searchsorted(found, _RANGES), append=len(found)), 65535).astype(np.uint16).tobytes()
 
 
 class Overlap:
@@ -106,17 +151,17 @@ def choose_boundary(sizes: dict[int, int], overlap: Overlap, most: int = 64) ->
 
 
 def _statistics(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Counts of shingles by bucket, and of set sizes, over all documents."""
+    """Shingles by bucket and documents by number of shingles, over all documents."""
 
     def count(batches):
-        hashes, table, sizes = _WordHashes(), np.zeros(RARITY_BUCKETS, np.int64), {}
+        hashes, table, sizes = _WordHashes(), np.zeros(RARITY_BUCKETS, np.int64), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = shingle_set(text, width, hashes)
-                np.add.at(table, (found & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), 1)
-                sizes[len(found)] = sizes.get(len(found), 0) + 1
+            for run in shingle_runs(batch.column(0).to_pylist(), width, hashes):
+                table += np.bincount((np.concatenate(run) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), minlength=RARITY_BUCKETS)
+                sizes.update(map(len, run))
         at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, -1 - np.array([*sizes], np.int64)))), pa.array(np.concatenate((table[at], np.array([*sizes.values()], np.int64))))], ["key", "n"])
+        keys = np.concatenate((at, -1 - np.fromiter(sizes.keys(), np.int64, len(sizes))))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((table[at], np.fromiter(sizes.values(), np.int64, len(sizes)))))], ["key", "n"])
 
     rows = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
@@ -125,49 +170,81 @@ def _statistics(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]
     return table, dict(zip((-1 - key[key < 0]).tolist(), n[key < 0].tolist(), strict=True))
 
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as one Arrow list column."""
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int64), kind))
+
+
 def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, rarity: np.ndarray) -> DataFrame:
-    """A row per document: doc_id, n, a 128-bit set signature, its heavy and its light keys."""
-    level = np.log2(rarity + 1.0).astype(np.uint8)  # coarse, so ties fall to the shingle's own hash
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+    """A row per document: doc_id, n, set signature s1 and s2, profile, heavy keys and light keys.
+
+    A heavy key is a shingle under its order: the rarity level on top of 58 bits
+    of its hash.
+    """
+    # Coarse levels, so that ties fall to the shingle's own hash.
+    levels = np.log2(rarity + 1.0).astype(np.uint64) << np.uint64(58)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
     kind = dict(docs.dtypes)["doc_id"]
+    low58 = np.uint64((1 << 58) - 1)
 
     def sign(batches):
-        level, hashes = shared.value, _WordHashes()
+        levels, hashes = shared.value, _WordHashes()
         for batch in batches:
-            n, s1, s2, heavy, light, pair = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, width, hashes)
-                size = len(found)
-                digest = xxhash.xxh3_128_intdigest(found.tobytes())
-                n.append(size)
-                s1.append((digest & ((1 << 63) - 1)))
-                s2.append(digest >> 65)
-                if size and overlap.most(size) > boundary:
-                    order = np.lexsort((found, level[(found & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)]))
-                    heavy.append(to_signed(found[order[: overlap.prefix(size)]]))
-                else:
-                    heavy.append(np.empty(0, np.int64))
-                keys, sizes = [], []
-                if 0 < size <= boundary:
-                    values = found.tolist()
-                    for other in range(overlap.least(size), min(boundary, overlap.most(size)) + 1):
-                        for subset in combinations(values, overlap.needed(size, other)):
-                            keys.append(xxhash.xxh3_128_digest(np.array(subset, np.uint64).tobytes()))
-                            sizes.append(min(size, other) * PAIR + max(size, other))
-                light.append(keys)
-                pair.append(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(heavy, pa.list_(pa.int64())), pa.array(light, pa.list_(pa.binary())), pa.array(pair, pa.list_(pa.int32()))],
-                ["doc_id", "n", "s1", "s2", "heavy", "light", "pair"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, s1 long, s2 long, heavy array<long>, light array<binary>, pair array<int>")
+            at = 0
+            for run in shingle_runs(batch.column(1).to_pylist(), width, hashes):
+                n, s1, s2, profiles, heavy, light, pair = [], [], [], [], [], [], []
+                for found in map(distinct, run):
+                    size = len(found)
+                    digest = xxhash.xxh3_128_intdigest(found.tobytes())
+                    n.append(size)
+                    s1.append(digest & ((1 << 63) - 1))
+                    s2.append(digest >> 65)
+                    profiles.append(profile(found))
+                    heavy.append(_NONE)
+                    if size and overlap.most(size) > boundary:
+                        keys = np.sort(levels[(found & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)] | (found & low58))
+                        heavy[-1] = to_signed(keys[: overlap.prefix(size)])
+                    keys, sizes = [], []
+                    if 0 < size <= boundary:
+                        values = found.tolist()
+                        for other in range(overlap.least(size), min(boundary, overlap.most(size)) + 1):
+                            for subset in combinations(values, overlap.needed(size, other)):
+                                keys.append(xxhash.xxh3_128_digest(np.array(subset, np.uint64).tobytes()))
+                                sizes.append(min(size, other) * PAIR + max(size, other))
+                    light.append(keys)
+                    pair.append(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(run)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(profiles, pa.binary()), _lists(heavy, pa.int64()), pa.array(light, pa.list_(pa.binary())), pa.array(pair, pa.list_(pa.int32()))],
+                    ["doc_id", "n", "s1", "s2", "profile", "heavy", "light", "pair"],
+                )
+                at += len(run)
+
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, s1 long, s2 long, profile binary, heavy array<long>, light array<binary>, pair array<int>")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
+    """The pairs (a, b) whose profiles do not rule a link out, with their other columns."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    kept = [f"{c} {t}" for c, t in pairs.dtypes]
+
+    def check(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, 64).astype(np.int64) for c in ("pa", "pb"))
+            allowed = na + nb - 2 * (-(-overlap.num * (na + nb) // (overlap.num + overlap.den)))
+            yield batch.select(names).filter(pa.array(np.abs(pa_ - pb).sum(axis=1) <= allowed))
+
+    names = pairs.columns
+    return pairs.join(left, "a").join(right, "b").select(*names, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(kept))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, overlap: Overlap) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ends = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    few = ends.count() <= MOST_BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     kind = dict(pairs.dtypes)["a"]
@@ -177,7 +254,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, overlap: Overlap) -
 
         def of(key, text):
             if key not in sets:
-                if len(sets) > 2000:
+                if len(sets) > 500:
                     sets.clear()
                 sets[key] = shingle_set(text, width, hashes)
             return sets[key]
@@ -190,7 +267,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, overlap: Overlap) -
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap.needed(len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10), boundary: int | None = None) -> DataFrame:
@@ -211,7 +288,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[
     groups = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # One row a distinct set: that of its least doc_id.
     firsts = groups.select(F.col("rep").alias("doc_id"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
-    sets = rows.filter("n > 0").join(firsts, "doc_id").filter("s1 = r1 AND s2 = r2").select("doc_id", "n", "heavy", "light", "pair").dropDuplicates(["doc_id"])
+    sets = rows.filter("n > 0").join(firsts, "doc_id").filter("s1 = r1 AND s2 = r2").select("doc_id", "n", "profile", "heavy", "light", "pair").dropDuplicates(["doc_id"])
 
     # Light: sets that share a bucket key are linked through its least member.
     keys = sets.select("doc_id", "n", F.explode(F.arrays_zip("light", "pair")).alias("k")).select("doc_id", "n", F.col("k.light").alias("key"), F.col("k.pair").alias("pair"))
@@ -229,8 +306,11 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[
     heads = heads.union(heads.withColumn("band", F.col("band") + 1))
     fits = (F.col("n") * threshold[1] >= F.col("m") * threshold[0]) & (F.col("m") * threshold[1] >= F.col("n") * threshold[0])
     own = lists.join(heads, ["key", "band"]).filter((F.col("doc_id") != F.col("b")) & fits)
-    tries = checkpointed(own.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct())
-    edges = _verified(tries, docs, width, overlap).union(light_edges)
+    tries = own.groupBy(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    tries = checkpointed(_possible(tries, sets, overlap))
+    # First one pair a document, that of most common lists; it mostly joins a whole group.
+    best = tries.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b")
+    edges = checkpointed(_verified(best, docs, width, overlap).union(light_edges))
     parts = connected_components(edges)
 
     # What is still open: pairs of a list whose documents are in different components.
@@ -246,9 +326,9 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[
         .filter((F.col("x.n") * threshold[1] >= F.col("y.n") * threshold[0]) & (F.col("y.n") * threshold[1] >= F.col("x.n") * threshold[0]))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
-        .join(tries, ["a", "b"], "left_anti")
+        .join(best, ["a", "b"], "left_anti")
     )
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(_possible(pairs, sets, overlap))
     if not pairs.isEmpty():
         more = checkpointed(_verified(pairs, docs, width, overlap))
         if not more.isEmpty():
