@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import decontaminate, fingerprints, html, jaccard, language, lm, sharding, urls
+from evidara.llm import decontaminate, fingerprints, html, jaccard, language, licences, lm, pieces, sharding, urls
 from evidara.llm.runtime import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), check=True)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"), width=3, threshold=(9, 10))
 
@@ -18,6 +22,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -43,4 +51,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_benchmark_decontamination, op5_url_filters, op6_language_id, op7_sharding, op8_lm_scoring, op9_document_fingerprints, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_licence_scans, op5_url_filters, op6_language_id, op7_sharding, op8_lm_scoring, op9_document_fingerprints, op10_html_extraction)}
