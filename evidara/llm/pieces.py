@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,14 @@ RANK_OFFSET = 50.0
 _UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
+class _Numbers(dict):
+    """Keys -> 0, 1, 2, ... in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = value = len(self)
+        return value
+
+
 class Vocabulary:
     """Pieces, weights and byte pieces of a SentencePiece model, in plain arrays."""
 
@@ -166,17 +175,18 @@ def _filtered(units: list[str], vocabulary: Vocabulary, power: float):
 
 def sample_ids(texts: list[str | None], keys: np.ndarray, vocabulary: Vocabulary, seed: int, power: float) -> tuple[np.ndarray, np.ndarray]:
     """All sampled ids one behind the other, and where each text's begin (one more at the end)."""
-    number: dict[str, int] = {}
-    occurrences: list[int] = []
-    text_ends = [0]
+    number = _Numbers()
+    parts: list[list[str]] = []
     for text in texts:
         if text:
             # A literal U+2581 is spelt in bytes, so that decoding gives it back.
             marked = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
-            occurrences += [number.setdefault(u, len(number)) for u in _UNITS.findall(marked)]
-        text_ends.append(len(occurrences))
-    total = len(occurrences)
-    own, ends = np.array(occurrences, np.int64), np.array(text_ends)
+            parts.append(_UNITS.findall(marked))
+        else:
+            parts.append([])
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+    total = int(ends[-1])
+    own = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, total)
     if not total:
         return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     text_of = np.repeat(np.arange(len(texts)), np.diff(ends))
@@ -242,7 +252,7 @@ def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", seed: int = 1, power: float = 1.0, vocabulary: Vocabulary | None = None, check: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, key: str = "doc_id", seed: int = 1, power: float = 0.5, vocabulary: Vocabulary | None = None, check: bool = False) -> DataFrame:
     """Sampled piece ids of every whole text, and what they decode to.
 
     Returns ``key``, ids (array of int) and decoded; with ``check`` instead of
