@@ -1,15 +1,72 @@
-"""Corpus pipeline: language ID, near-duplicate removal, decontamination, tokens."""
+"""Corpus pipeline: language ID, near-duplicate removal, decontamination, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidara.llm import decontaminate, jaccard, language, pieces
+from evidara.llm.runtime import checkpointed, table
+
+#: Documents below this language score have next to none of any learnt language's n-grams.
+LEAST_LANGUAGE_SCORE = 0.2
+#: Ids that may be broadcast to pick rows; with more the join shuffles.
+MOST_BROADCAST_IDS = 1 << 20
+
+
+def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined with a relation of doc_id, broadcast only if it is small."""
+    ids = checkpointed(ids.select("doc_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", how)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter (a null text too) and those like no learnt language."""
+    return language.keep_identified(docs, language.fit_profiles(docs), LEAST_LANGUAGE_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word shingles at a similarity of 0.8 stays: that of least doc_id.
+
+    Rows with a null doc_id cannot be told apart and all stay; of rows that share a doc_id one stays.
+    """
+    found = checkpointed(jaccard.near_duplicate_components(docs, width=5, threshold=(8, 10)))
+    first = found.filter("doc_id = component_id")
+    kept = _picked(docs, first.distinct(), "left_semi")
+    if not first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops every document in which a window of a benchmark item occurs."""
+    found = decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark")).filter("item_id IS NOT NULL")
+    return _picked(docs, found.select("doc_id").distinct(), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every document left, and whether they decode to its text."""
+    return pieces.encode_documents(docs, check=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: SQL cannot express the first, second and last stage; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

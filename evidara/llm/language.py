@@ -166,6 +166,18 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[str]], keep: tupl
     return docs.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], least: float) -> DataFrame:
+    """The rows whose text has a letter and a language score of at least ``least``, with all their columns."""
+    model = RankProfiles(profiles)
+
+    def run(batches):
+        for batch in batches:
+            keep = [lang != UNDETERMINED and score >= least for lang, score in map(model.predict, batch.column("text").to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Fit on the documents whose crc32(doc_id) mod 4 is not 2, predict all.
 
