@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.llm.runtime import runs
+
 UNKNOWN = "unknown"
 # Usual statements of each licence family.
 TEMPLATES = {
@@ -219,7 +221,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
         model, hashes = shared.value, _Rows()
         for batch in batches:
             at = 0
-            for texts in _runs(batch.column(1).to_pylist()):
+            for texts in runs(batch.column(1)):
                 units = [(d, n, w) for d, t in enumerate(texts) for n, w in windows(t)]
                 found: list[dict[int, dict]] = [{} for _ in texts]
                 if units:
@@ -242,13 +244,3 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_paragraphs long, n_licences long, families string, licences array<struct<paragraph:int,family:string,probability:double,similarity:double>>"
     )
-
-
-def _runs(texts: list, most: int = 1_000_000):
-    """Slices of a list of texts, each of about so many characters, or one longer text."""
-    first, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= most or i == len(texts) - 1:
-            yield texts[first : i + 1]
-            first, held = i + 1, 0

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.runtime import mix64
+from evidara.llm.runtime import mix64, runs
 
 DEFAULT_MODEL = os.environ.get("EVIDARA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -270,7 +270,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", seed: int = 1, power:
         vocabulary = shared.value
         for batch in batches:
             at = 0
-            for texts in _runs(batch.column(2).to_pylist()):
+            for texts in runs(batch.column(2)):
                 keys = batch.column(1).slice(at, len(texts)).to_numpy().view(np.uint64)
                 ids, begin = sample_ids(texts, keys, vocabulary, seed, power)
                 decoded = [None if t is None else decode_ids(ids[a:b], vocabulary) for t, a, b in zip(texts, begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
@@ -299,13 +299,3 @@ def decode_documents(tokens: DataFrame, key: str = "doc_id", vocabulary: Vocabul
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
     return tokens.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, text string")
-
-
-def _runs(texts: list, most: int = 1_000_000):
-    """Slices of a list of texts, each of about so many characters, or one longer text."""
-    first, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= most or i == len(texts) - 1:
-            yield texts[first : i + 1]
-            first, held = i + 1, 0

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,18 @@ def to_signed(x: np.ndarray) -> np.ndarray:
 def crc_residue(column: str, modulus: int):
     """crc32 of a column written as text, modulo ``modulus`` (null key: of '')."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def runs(column: pa.Array, most: int = 1_000_000, rows: int = 500):
+    """Lists of a column's texts, each of about so many characters, or one longer text."""
+    run: list = []
+    held = 0
+    for at in range(0, len(column), rows):
+        for text in column.slice(at, rows).to_pylist():
+            run.append(text)
+            held += len(text or "")
+            if held >= most:
+                yield run
+                run, held = [], 0
+    if run:
+        yield run
