@@ -2,9 +2,10 @@
 
 The lexicon is a band of inverse document frequency.  A document's distinct
 lexicon terms are sorted and hashed once for the whole lexicon and once for each
-randomised subset of it; a subset keeps one term in 2, 8, 32 or 128, so that
-short and long texts both have subsets with few of their terms.  The likeness of
-two fingerprints is the share of equal parts among those that either has.
+randomised subset of it.  Subsets come in three levels: they keep one term in
+16, 64 or 256, so that texts of any length have a level whose subsets hold a few
+of their terms.  The likeness of two fingerprints is the share of equal parts
+among those that either has, on the sparsest level with enough of them.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 from evidara.llm.runtime import checkpointed
 from evidara.llm.words import words_of
 
-#: For each randomised subset of the lexicon: one term in so many is kept.
-KEEP_ONE_IN = [2] * 4 + [8] * 6 + [32] * 8 + [128] * 6
-#: A term is a long: 40 bits of its hash over a bit for each subset.
-SUBSET_BITS = len(KEEP_ONE_IN)
+#: Levels of randomised subsets as (bits, subsets): one term in 2 ** bits, so many subsets.
+LEVELS = [(4, 16), (6, 24), (8, 32)]
+#: Parts that a pair needs on a level for that level to tell its likeness.
+LEAST_PARTS = 8
 #: The band: at least this share of documents (and 2), at most that one.
-LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
+LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 #: The lexicon holds at most so many terms; the lower end of the band rises until it does.
 MOST_TERMS = 1 << 18
 #: Rows to a range of doc_id, and ranges at most.
@@ -29,7 +30,7 @@ RANGE_ROWS, MOST_RANGES = 500, 1 << 16
 
 
 def lexicon(docs: DataFrame, column: str = "text") -> DataFrame:
-    """term (hash) and mask (a bit for each subset) of the terms inside the band.
+    """term (hash) and entry (the same) of the terms inside the band.
 
     Document frequencies are exact over all rows.  At most ``MOST_TERMS`` rows.
     """
@@ -45,25 +46,38 @@ def lexicon(docs: DataFrame, column: str = "text") -> DataFrame:
         if held > MOST_TERMS:
             first = at + 1
             break
-    mask = F.lit(0).cast("long")
-    for i, rate in enumerate(KEEP_ONE_IN):
-        mask = mask.bitwiseOR(F.when(F.pmod(F.xxhash64("term", F.lit(i)), F.lit(rate)) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    entry = F.shiftleft(F.shiftright("term", SUBSET_BITS), SUBSET_BITS).bitwiseOR(mask)
-    return df.filter(F.col("df").between(low, high) & (level >= first)).select("term", entry.alias("entry"))
+    return df.filter(F.col("df").between(low, high) & (level >= first)).select("term", F.col("term").alias("entry"))
 
 
-def _parts(entries: Column, whole: Column) -> Column:
-    """Part hashes of a sorted array of entries: the whole lexicon, then each subset.
+def _cell(entry: Column, level: int) -> Column:
+    """The subset of a level that a term is in: bits of its hash that no other level uses."""
+    shift = sum(bits for bits, _ in LEVELS[:level])
+    return F.shiftrightunsigned(entry, shift).bitwiseAND(F.lit((1 << LEVELS[level][0]) - 1))
+
+
+def _with_parts(df: DataFrame, entries: str, whole: str, out: str) -> DataFrame:
+    """Adds ``out``, the part hashes of a sorted array of entries: the whole lexicon, then each subset.
 
     0 where a subset has none of the terms; ``whole`` stands in for the first
     part where the lexicon has none.
     """
 
-    def part(i: int) -> Column:
-        own = F.filter(entries, lambda e: F.getbit(e, F.lit(i)) == 1)
-        return F.when(F.size(own) > 0, F.hash(own)).otherwise(F.lit(0))
+    def hashed(terms: Column) -> Column:
+        return F.when(F.size(terms) > 0, F.hash(terms)).otherwise(F.lit(0))
+
+    def on_level(i: int):
+        return lambda e: _cell(e, i) < LEVELS[i][1]
 
-    return F.array(F.when(F.size(entries) > 0, F.hash(entries)).otherwise(whole), *[part(i) for i in range(SUBSET_BITS)])
+    def in_subset(i: int, k: int):
+        return lambda e: _cell(e, i) == k
+
+    own = [f"__{out}_{i}" for i in range(len(LEVELS))]
+    # Columns of their own: each subset then filters only the terms of its level.
+    df = df.withColumns({c: F.filter(entries, on_level(i)) for i, c in enumerate(own)})
+    parts = [F.when(F.size(entries) > 0, F.hash(entries)).otherwise(F.col(whole))]
+    for i, c in enumerate(own):
+        parts += [hashed(F.filter(c, in_subset(i, k))) for k in range(LEVELS[i][1])]
+    return df.withColumn(out, F.array(*parts)).drop(*own)
 
 
 def _shown(parts: Column) -> Column:
@@ -71,10 +85,19 @@ def _shown(parts: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal parts as a share of those that either fingerprint has."""
+    """Equal parts as a share of those that either fingerprint has, on one level.
+
+    The level is the sparsest with ``LEAST_PARTS`` of them, else the densest; if
+    neither text has a term on it, only the first parts tell: 1 if equal, else 0.
+    """
     both = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(0)).when(x == y, F.lit(2)).otherwise(F.lit(1)))
-    some = F.size(F.filter(both, lambda x: x > 0))
-    return F.when(some > 0, F.size(F.filter(both, lambda x: x == 2)) / some).otherwise(F.lit(0.0)).cast("double")
+    at, value = 2, F.when(F.get(both, F.lit(0)) == 2, F.lit(1.0)).otherwise(F.lit(0.0))
+    for i, (_, n) in enumerate(LEVELS):
+        own = F.slice(both, at, n)
+        some, equal = F.size(F.filter(own, lambda x: x > 0)), F.size(F.filter(own, lambda x: x == 2))
+        value = F.when(some >= (LEAST_PARTS if i else 1), equal / some).otherwise(value)
+        at += n
+    return value.cast("double")
 
 
 def _in_order(docs: DataFrame, text: Column) -> DataFrame:
@@ -151,7 +174,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(of(0, "entry"))).alias("e0"), F.array_sort(F.collect_list(of(1, "entry"))).alias("e1"),
         F.max(of(0, "whole")).alias("w0"), F.max(of(1, "whole")).alias("w1"),
     )
-    parts = gathered.select("at", "row", "border", "doc_id", "n_chars", "edited_sha256", _parts(F.col("e0"), F.col("w0")).alias("f0"), _parts(F.col("e1"), F.col("w1")).alias("f1"))
+    parts = _with_parts(_with_parts(gathered, "e0", "w0", "f0"), "e1", "w1", "f1").drop("e0", "w0", "e1", "w1")
     following = F.lead("f0").over(W.partitionBy("at").orderBy("row"))
     return (
         parts.withColumn("f2", following)
