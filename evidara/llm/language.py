@@ -21,8 +21,10 @@ from evidara.llm.runtime import crc_residue
 UNDETERMINED = "und"
 PROFILE_GRAMS = 400
 DOCUMENT_GRAMS = 300
-#: Documents of each language that the profiles are fitted on, lowest hash first.
+#: Documents of each language that the profiles are fitted on (about; picked by hash).
 FIT_PER_LANGUAGE = 1500
+#: Values of lang whose counts may be broadcast.
+MOST_BROADCAST_LANGUAGES = 10_000
 
 _LETTER: dict[str, np.ndarray] = {}
 
@@ -113,17 +115,18 @@ class RankProfiles:
 
 
 def fit_profiles(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, grams: int = PROFILE_GRAMS) -> dict[str, list[str]]:
-    """Profiles from a bounded sample: the ``per_language`` rows of lowest hash of each lang.
+    """Profiles from a bounded sample: about ``per_language`` rows of each lang, picked by hash.
 
     Rows with a null text or lang teach nothing.  The driver receives ``grams``
     n-grams a language.
     """
-    lowest = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.count() <= MOST_BROADCAST_LANGUAGES
+    share = F.least(F.lit(float(1 << 30)), F.lit(float(1 << 30) * per_language) / F.col("n"))
     sample = (
-        docs.select("doc_id", "text", "lang")
-        .filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-        .withColumn("at", F.row_number().over(lowest))
-        .filter(F.col("at") <= per_language)
+        usable.join(F.broadcast(sizes) if few else sizes, "lang")
+        .filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
         .select("lang", "text")
     )
 
