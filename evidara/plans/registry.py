@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidara.plans import analysis_queries, retrieval_queries, storage_queries  # noqa: F401  (they register)
+from evidara.plans.views import REGISTERED, plain
+
+
+def _plainly(f):
+    return lambda spark, sf_dir: plain(f(spark, sf_dir))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _plainly(f) for name, (f, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
