@@ -25,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.llm.components import connected_components
 from evidara.llm.runtime import checkpointed, mix64, to_signed
 
-#: Buckets of the count table that orders shingles by rarity: a fixed size, whatever the corpus.
-RARITY_BUCKETS = 1 << 18
+#: Frequent shingles whose counts order the rest by rarity, at most: a fixed size, whatever the corpus.
+FREQUENT_SHINGLES = 1 << 20
+#: Shingles that a task counts exactly at a time.
+COUNTED_AT_ONCE = 4_000_000
 #: Relative cost of one heavy key: it is shuffled, tied and may be verified.
 HEAVY_KEY_COST = 4.0
 #: A light bucket key also names its two sizes, as smaller * PAIR + larger.
@@ -48,13 +51,13 @@ class _WordHashes(dict):
     """Word bytes -> 64-bit hash, filled as words appear; emptied when it grows."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-def shingle_runs(texts: list[str | None], width: int, hashes: dict, most_words: int = 400_000):
+def shingle_runs(texts: list[str | None], width: int, hashes: dict, most_words: int = 200_000):
     """Yields a list of hash arrays, one a text, not yet distinct, for runs of whole texts.
 
     A-Z are lower-cased and ASCII white space separates words.  Fewer words than
@@ -72,6 +75,12 @@ def shingle_runs(texts: list[str | None], width: int, hashes: dict, most_words:
             run, held = [], 0
 
 
+def _slices(column: pa.Array, rows: int = 1000):
+    """A column's values as lists of few rows, so that only those stand in Python at once."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def _hash_run(run: list[list[bytes]], held: int, width: int, hashes: dict) -> list[np.ndarray]:
     h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(run)), np.uint64, held)
     n = max(0, held - width + 1)
@@ -150,24 +159,50 @@ def choose_boundary(sizes: dict[int, int], overlap: Overlap, most: int = 64) ->
     return at
 
 
-def _statistics(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Shingles by bucket and documents by number of shingles, over all documents."""
+def _statistics(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Frequent shingles (sorted) with their levels, and documents by number of shingles.
+
+    All shingles of all documents are counted; those that a task meets once
+    among millions are left at level 0.  The levels only set the order in which
+    prefixes are taken, and any fixed order gives the same links.
+    """
 
     def count(batches):
-        hashes, table, sizes = _WordHashes(), np.zeros(RARITY_BUCKETS, np.int64), Counter()
+        hashes, sizes, held, n = _WordHashes(), Counter(), [], 0
+
+        def counted():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = to_signed(keys[counts > 1]), counts[counts > 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(counts)], ["kind", "key", "n"])
+
         for batch in batches:
-            for run in shingle_runs(batch.column(0).to_pylist(), width, hashes):
-                table += np.bincount((np.concatenate(run) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), minlength=RARITY_BUCKETS)
+            for run in chain.from_iterable(shingle_runs(texts, width, hashes) for texts in _slices(batch.column(0))):
                 sizes.update(map(len, run))
-        at = np.flatnonzero(table)
-        keys = np.concatenate((at, -1 - np.fromiter(sizes.keys(), np.int64, len(sizes))))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((table[at], np.fromiter(sizes.values(), np.int64, len(sizes)))))], ["key", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    table = np.zeros(RARITY_BUCKETS, np.int64)
-    table[key[key >= 0]] = n[key >= 0]
-    return table, dict(zip((-1 - key[key < 0]).tolist(), n[key < 0].tolist(), strict=True))
+                held += run
+                n += sum(map(len, run))
+                if n >= COUNTED_AT_ONCE:
+                    yield counted()
+                    held, n = [], 0
+        if n:
+            yield counted()
+        keys, counts = np.fromiter(sizes.keys(), np.int64, len(sizes)), np.fromiter(sizes.values(), np.int64, len(sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(counts)], ["kind", "key", "n"])
+
+    rows = checkpointed(docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    level = (F.floor(F.log2(F.col("n").cast("double")) * 2)).cast("int")
+    found = rows.filter("kind = 0 AND n > 3")
+    by_level = {r["level"]: r["n"] for r in found.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = 0, 0
+    for at in sorted(by_level, reverse=True):
+        total += by_level[at]
+        if total > FREQUENT_SHINGLES:
+            least = at + 1
+            break
+    frequent = found.filter(level >= least).select("key", level.alias("level")).toArrow()
+    keys = frequent.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    sizes = {r["key"]: r["n"] for r in rows.filter("kind = 1").collect()}
+    return keys[order], np.minimum(frequent.column("level").to_numpy()[order], 63).astype(np.uint64), sizes
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -176,26 +211,35 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int64), kind))
 
 
-def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, rarity: np.ndarray) -> DataFrame:
+def _leveled(found: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Shingles as keys that sort by rarity: the level on top of 58 bits of the hash."""
+    keys = found & np.uint64((1 << 58) - 1)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        keys |= np.where(frequent[at] == found, levels[at], np.uint64(0))
+    return keys
+
+
+def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, frequent: np.ndarray, levels: np.ndarray) -> DataFrame:
     """A row per document: doc_id, n, set signature s1 and s2, profile, heavy keys and light keys.
 
     A heavy key is a shingle under its order: the rarity level on top of 58 bits
     of its hash.
     """
-    # Coarse levels, so that ties fall to the shingle's own hash.
-    levels = np.log2(rarity + 1.0).astype(np.uint64) << np.uint64(58)
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, levels << np.uint64(58)))
     kind = dict(docs.dtypes)["doc_id"]
-    low58 = np.uint64((1 << 58) - 1)
-
     def sign(batches):
-        levels, hashes = shared.value, _WordHashes()
+        (frequent, levels), hashes = shared.value, _WordHashes()
         for batch in batches:
             at = 0
-            for run in shingle_runs(batch.column(1).to_pylist(), width, hashes):
+            for run in chain.from_iterable(shingle_runs(texts, width, hashes) for texts in _slices(batch.column(1))):
                 n, s1, s2, profiles, heavy, light, pair = [], [], [], [], [], [], []
-                for found in map(distinct, run):
+                sets = [distinct(found) for found in run]
+                ranked = _leveled(np.concatenate(sets), frequent, levels)
+                begin = 0
+                for found in sets:
                     size = len(found)
+                    begin += size
                     digest = xxhash.xxh3_128_intdigest(found.tobytes())
                     n.append(size)
                     s1.append(digest & ((1 << 63) - 1))
@@ -203,7 +247,7 @@ def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, ra
                     profiles.append(profile(found))
                     heavy.append(_NONE)
                     if size and overlap.most(size) > boundary:
-                        keys = np.sort(levels[(found & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)] | (found & low58))
+                        keys = np.sort(ranked[begin - size : begin])
                         heavy[-1] = to_signed(keys[: overlap.prefix(size)])
                     keys, sizes = [], []
                     if 0 < size <= boundary:
@@ -260,12 +304,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, overlap: Overlap) -
             return sets[key]
 
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i in range(len(a)):
-                x, y = of(a[i], ta[i]), of(b[i], tb[i])
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap.needed(len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                a, b, ta, tb = (part.column(i).to_pylist() for i in range(4))
+                keep = []
+                for i in range(len(a)):
+                    x, y = of(a[i], ta[i]), of(b[i], tb[i])
+                    keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap.needed(len(x), len(y)))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}")
 
@@ -281,10 +327,10 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[
     ``boundary`` overrides the cost-based choice (tests).
     """
     overlap = Overlap(*threshold)
-    rarity, sizes = _statistics(docs, width)
+    frequent, levels, sizes = _statistics(docs, width)
     if boundary is None:
         boundary = choose_boundary(sizes, overlap)
-    rows = checkpointed(_signatures(docs, width, overlap, boundary, rarity))
+    rows = checkpointed(_signatures(docs, width, overlap, boundary, frequent, levels))
     groups = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # One row a distinct set: that of its least doc_id.
     firsts = groups.select(F.col("rep").alias("doc_id"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
@@ -299,9 +345,13 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[
 
     # Heavy: inverted lists of the rarest shingles, in bands of size that links span at most one step of.
     step = float(np.log(threshold[1] / threshold[0]))
-    every = sets.select("doc_id", "n", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int").alias("band"), F.posexplode("heavy").alias("pos", "key"))
-    several = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    lists = checkpointed(every.join(several, "key", "left_semi"))
+    every = sets.select("doc_id", "n", F.posexplode("heavy").alias("pos", "key"))
+    # One shuffle by shingle; a document has a shingle once, so no list is longer than the documents.
+    listed = every.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("size > 1")
+    kept = checkpointed(listed.select("key", "doc_id", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("n_pos")))
+    n = F.shiftright("n_pos", 32)
+    band = F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
+    lists = kept.select("key", "doc_id", n.alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), band.alias("band"))
     heads = lists.groupBy("key", "band").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", "band", F.col("head.doc_id").alias("b"), F.col("head.n").alias("m"))
     heads = heads.union(heads.withColumn("band", F.col("band") + 1))
     fits = (F.col("n") * threshold[1] >= F.col("m") * threshold[0]) & (F.col("m") * threshold[1] >= F.col("n") * threshold[0])
