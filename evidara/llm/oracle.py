@@ -1,7 +1,38 @@
-"""DuckDB SQL for the queries of ``queries`` that SQL can express."""
+"""DuckDB SQL for the queries of ``queries`` that SQL can express.
+
+The other queries (sampling, components, classifiers, minimax cuts, gradient
+training, fingerprints, CRF) are held against brute force in the tests.
+"""
 
 from __future__ import annotations
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format('text')} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, w[p:p + n - 1] AS words FROM s),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (SELECT rid, n, w, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT rid, item_id, p, win.n AS n FROM spots JOIN win ON win.n = spots.n AND w[p:p + spots.n - 1] = words),
+marked AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(generate_series(p, p + n - 1)) AS q FROM hits) GROUP BY 1),
+items AS (SELECT rid, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT rid, item_id::VARCHAR AS k FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN items USING (rid)
+"""
+
+URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
+h AS (SELECT page_id, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT *, '.' || host AS dotted FROM h),
+j AS (SELECT *, CASE WHEN dotted LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN dotted LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN dotted LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN dotted LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
+  host LIKE '%spam%' OR host LIKE '%casino%' OR host LIKE '%cheap-pills%' OR host LIKE '%porn%' OR dotted LIKE '%.ads.%' OR dotted LIKE '%.doubleclick.%' OR path LIKE '%/ads/%' OR path LIKE '%/banner/%' OR path LIKE '%.exe' OR path LIKE '%.zip' AS junk FROM f)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN junk THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": DECONTAMINATION, "op5_url_filters": URLS}
