@@ -148,6 +148,23 @@ def test_best_chunk_depends_on_representations(spark):
     assert dense.vector_search(asked, chunks, 1, ["strict"]).first()["doc_id"] == "d2"
 
 
+def test_top_k_survives_small_batches(spark):
+    import numpy as np
+
+    r = np.random.Generator(np.random.PCG64(9))
+    rows = [(int(i // 3), "r", int(i % 3), r.normal(size=8).tolist()) for i in range(120)] + [(50, "r", 0, [0.0] * 8), (51, "r", 0, None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, representation string, ordinal int, embedding array<double>").repartition(7)
+    asked = [(q, r.normal(size=8).tolist()) for q in range(4)]
+    got = dense.vector_search(spark.createDataFrame(asked, "query_id long, embedding array<double>"), chunks, 5).collect()
+    for q, v in asked:
+        best = {}
+        for d, _, _, e in rows:
+            if e and any(e):
+                best[d] = max(best.get(d, -2.0), round(float(np.dot(e, v) / np.linalg.norm(e) / np.linalg.norm(v)), 6))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(x["doc_id"], x["score"]) for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == want
+
+
 def test_all_strategies_run(spark):
     docs = spark.createDataFrame([(1, "Aspirin", "Aspirin lowers fever. It works fast."), (2, "Tea", "Tea warms hands."), (3, "Fever", "Fever may follow a cold.")], "doc_id long, title string, text string")
     asked = spark.createDataFrame([(1, "aspirin fever")], "query_id long, text string")
