@@ -309,3 +309,24 @@ def test_pipeline(spark, tmp_path):
     assert left == [[1, 2, 3, 4, 7], [1, 4, 7], [1, 7]]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out) == [1, 7] and all(r["lossless"] for r in out)
+
+
+def test_lm_learns_from_every_row(spark):
+    r = np.random.Generator(np.random.PCG64(1))
+    order = [" ".join(f"v{x}" for x in r.integers(0, 40, 20)) + (" aa xx" if k % 2 else " bb yy") for k in range(400)]
+    rows = [(i, order[i % 400], None) for i in range(800)]
+    df = frame(spark, rows)
+    classes = lm.fit_classes(df)
+    counts = lm.count_tokens(df, classes).cache()
+    depth, masses, total, _ = lm.cell_masses(counts, classes.count)
+    assert total == 800 * 23
+    softmax, tree = lm.fit_softmax(df, classes, depth, masses, total)
+    lonely = lm.fit_softmax(df.filter("doc_id = 5"), classes, depth, masses, total)[1]
+    assert np.count_nonzero(lonely.weights) and np.count_nonzero(tree.weights) > 5 * np.count_nonzero(lonely.weights)  # each row's contexts count
+    table = lm.WordTable(classes)
+    ids, starts = table.numbers(["aa xx", "bb yy", "aa yy"])
+    hashes, kinds = table.hashes(), table.kinds()
+    past = lm.history(ids, starts, table, hashes)
+    tops = [(h >> np.uint64(32)).astype(np.uint32) for h in past[2:]]
+    p = softmax.log_probability(softmax.rows_of(past, kinds), kinds[ids]) + tree.log_probability(kinds[ids], tree.cells(hashes, kinds)[ids], tops)
+    assert p[1] > p[7] + 0.5 and p[4] > p[7] + 0.5  # the learnt second word above the other one
