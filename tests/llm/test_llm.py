@@ -330,3 +330,23 @@ def test_lm_learns_from_every_row(spark):
     tops = [(h >> np.uint64(32)).astype(np.uint32) for h in past[2:]]
     p = softmax.log_probability(softmax.rows_of(past, kinds), kinds[ids]) + tree.log_probability(kinds[ids], tree.cells(hashes, kinds)[ids], tops)
     assert p[1] > p[7] + 0.5 and p[4] > p[7] + 0.5  # the learnt second word above the other one
+
+
+def test_lm_word_factor():
+    depth, slots = np.array([3, 0, 4]), 1 << 10
+    masses = np.random.Generator(np.random.PCG64(3)).uniform(0.5, 9, 8 + 1 + 16)
+    tree = lm.WordTree(depth, masses, slots)
+    kinds, cells = np.repeat([0, 1, 2], [8, 1, 16]), np.concatenate([np.arange(8), [0], np.arange(16)]).astype(np.uint32)
+    past = [np.full(25, h, np.uint32) for h in (123456789, 3000000000, 77)]
+
+    def shares():
+        return np.exp(tree.log_probability(kinds, cells, past))
+
+    assert np.allclose(shares(), masses / np.repeat([masses[:8].sum(), masses[8], masses[9:].sum()], [8, 1, 16]), rtol=1e-4)  # unlearnt: by counts
+    squares, sums = np.ones(slots, np.float32), np.zeros(slots, np.float32)
+    before = shares()
+    for _ in range(20):
+        tree.train(np.full(50, 2), np.full(50, 6, np.uint32), [h[:1].repeat(50) for h in past], squares, sums)
+    after = shares()
+    assert np.allclose([after[:8].sum(), after[8], after[9:].sum()], 1, atol=1e-4)  # a distribution in each class
+    assert after[15] > 0.8 and after[15] / after[16] > 5 * before[15] / before[16]  # a learnt word rises within its class
