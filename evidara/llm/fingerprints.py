@@ -1,7 +1,9 @@
 """I-Match document fingerprints over randomised lexicon subsets, natively.
 
-The lexicon is a band of inverse document frequency.  A document's distinct
-lexicon terms are sorted and hashed once for the whole lexicon and once for each
+The lexicon is a band of inverse document frequency, counted over near-distinct
+texts: a group of copies or near copies counts once, however large it is.  A
+text without a term in the band falls back on its terms below the band, else on
+those above it.  A document's distinct lexicon terms are sorted and hashed once for the whole lexicon and once for each
 randomised subset of it.  Subsets come in three levels: they keep one term in
 16, 64 or 256, so that texts of any length have a level whose subsets hold a few
 of their terms.  The likeness of two fingerprints is the share of equal parts
@@ -21,32 +23,73 @@ from evidara.llm.words import words_of
 LEVELS = [(4, 16), (6, 24), (8, 32)]
 #: Parts that a pair needs on a level for that level to tell its likeness.
 LEAST_PARTS = 8
-#: The band: at least this share of documents (and 2), at most that one.
+#: The band: at least this share of near-distinct texts (and 2), at most that one.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
-#: The lexicon holds at most so many terms; the lower end of the band rises until it does.
-MOST_TERMS = 1 << 18
+#: Terms, groups and texts that may be broadcast; with more the join shuffles.
+MOST_TERMS, MOST_TEXTS = 1 << 18, 1 << 20
+#: Bits of a term's hash in an entry; its tier stands above them.
+TERM_BITS = 61
 #: Rows to a range of doc_id, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 500, 1 << 16
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def near_distinct(docs: DataFrame, column: str = "text") -> tuple[DataFrame, int]:
+    """text_key and weight of the texts that do not count as one text for each row, and the number of near-distinct texts.
+
+    Of a text that stands in c rows each row weighs 1 / c.  A text weighs 0 if
+    one of three minimum hashes of its runs of three words also occurs in a text
+    of a lower key; the lowest of each group of near copies stays.
+    """
+    w, first = F.col("w"), F.col("h")
+    rows = docs.select(F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("text_key"), words_of(F.col(column)).alias("w"))
+    rows = rows.select("text_key", F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))).alias("h"))
+    ends = [F.array_min(first), F.array_max(first), F.array_min(F.transform(first, lambda x: x.bitwiseXOR(F.lit(0x5A5A5A5A5A5A5A5A))))]
+    keys = [f"k{j}" for j in range(len(ends))]
+    rows = rows.select("text_key", *[F.xxhash64(F.lit(j), F.coalesce(e, F.col("text_key"))).alias(k) for j, (k, e) in enumerate(zip(keys, ends, strict=True))])
+    texts = checkpointed(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), *[F.max(k).alias(k) for k in keys]))
+    met = texts.select("text_key", F.explode(F.array(*keys)).alias("k")).groupBy("k").agg(F.min("text_key").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    groups = _small(checkpointed(met.filter("n > 1").select("k", "lowest")), MOST_TEXTS)
+    stays = F.lit(True)
+    for j, k in enumerate(keys):
+        texts = texts.join(groups.select(F.col("k").alias(k), F.col("lowest").alias(f"lowest{j}")), k, "left")
+        stays = stays & (F.coalesce(f"lowest{j}", "text_key") == F.col("text_key"))
+    texts = checkpointed(texts.select("text_key", "copies", stays.alias("stays")))
+    others = texts.filter(~F.col("stays") | (F.col("copies") > 1)).select("text_key", F.when(F.col("stays"), 1 / F.col("copies")).otherwise(0.0).alias("weight"))
+    return others, texts.filter("stays").count()
+
+
 def lexicon(docs: DataFrame, column: str = "text") -> DataFrame:
-    """term (hash) and entry (the same) of the terms inside the band.
+    """term (hash) and tier: 0 inside the band, 2 above it; terms below it have no row.
 
-    Document frequencies are exact over all rows.  At most ``MOST_TERMS`` rows.
+    Document frequencies are exact over the near-distinct texts.
     """
-    terms = docs.select(F.explode(F.array_distinct(words_of(F.col(column)))).alias("t")).select(F.xxhash64("t").alias("term"))
-    df = checkpointed(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    n = docs.count()
+    others, n = near_distinct(docs, column)
+    text = F.col(column)
+    weighed = docs.select(text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")).join(_small(others, MOST_TEXTS), "text_key", "left")
+    weighed = weighed.select("text", F.coalesce("weight", F.lit(1.0)).alias("weight")).filter("weight > 0")
+    terms = weighed.select("weight", F.explode(F.array_distinct(words_of(F.col("text")))).alias("t")).select("weight", F.xxhash64("t").alias("term"))
     low, high = max(2, round(LEAST_SHARE * n)), max(2, int(MOST_SHARE * n))
-    level = F.floor(F.log2(F.col("df").cast("double") / low) * 4)
-    sizes = {r["level"]: r["n"] for r in df.filter(F.col("df").between(low, high)).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, held = 0, 0
-    for at in sorted(sizes, reverse=True):
-        held += sizes[at]
-        if held > MOST_TERMS:
-            first = at + 1
-            break
-    return df.filter(F.col("df").between(low, high) & (level >= first)).select("term", F.col("term").alias("entry"))
+    df = terms.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("df")).filter(F.col("df") >= low)
+    return checkpointed(df.select("term", F.when(F.col("df") > high, 2).otherwise(0).alias("tier")))
+
+
+def with_tiers(spread: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds each term's tier; null where the lexicon has no row.
+
+    The lexicon is broadcast up to ``MOST_TERMS`` rows.  Beyond, only the terms
+    above the band are, which are few as each is in many texts; the others meet
+    the band in a shuffle.
+    """
+    if words.count() <= MOST_TERMS:
+        return spread.join(F.broadcast(words), "term", "left")
+    met = spread.join(F.broadcast(words.filter("tier = 2")), "term", "left")
+    settled = F.col("tier").isNotNull() | F.col("t").isNull()
+    rest = met.filter(~settled).drop("tier").join(words.filter("tier = 0"), "term", "left")
+    return met.filter(settled).unionByName(rest)
 
 
 def _cell(entry: Column, level: int) -> Column:
@@ -142,8 +185,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     shorter; after the last document comes the first).  Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text is empty.  A text without a lexicon term is fingerprinted as a
-    whole, so equal texts always have equal fingerprints.  Rows that share a
+    A null text is empty.  A text without a word is fingerprinted as a whole, so equal texts always have equal fingerprints.  Rows that share a
     doc_id follow each other in the order of their texts; null doc_ids come last.
     A single row is its own next.  Other columns are not read.
     """
@@ -160,20 +202,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(i).alias("version"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))])).alias("v"),
     )
     spread = versions.select("*", F.posexplode_outer(F.array_distinct(words_of(F.col("v.text")))).alias("pos", "t")).withColumn("term", F.xxhash64("t"))
-    met = spread.join(F.broadcast(words), "term", "left")  # MOST_TERMS rows at most
     lead_row = F.coalesce("pos", F.lit(0)) == 0
-    hit = F.col("entry").isNotNull() & F.col("t").isNotNull()
-    kept = met.filter(lead_row | hit).select(
-        "at", "row", "border", "doc_id", "n_chars", F.col("v.version").alias("version"), F.when(hit, F.col("entry")).alias("entry"),
+    entry = F.shiftleft(F.coalesce("tier", F.lit(1)).cast("long"), TERM_BITS).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
+    kept = with_tiers(spread, words).select(
+        "at", "row", "border", "doc_id", "n_chars", F.col("v.version").alias("version"), F.when(F.col("t").isNotNull(), entry).alias("entry"),
         F.when(lead_row, F.hash("v.text", F.lit("no term"))).alias("whole"),
         F.when(lead_row & (F.col("v.version") == 0), F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"),
     )
+    of_tier = lambda first: lambda e: F.shiftright(e, TERM_BITS) == F.shiftright(first, TERM_BITS)
     of = lambda i, c: F.when(F.col("version") == i, F.col(c))
     gathered = kept.groupBy("at", "row").agg(
         F.max("border").alias("border"), F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
         F.array_sort(F.collect_list(of(0, "entry"))).alias("e0"), F.array_sort(F.collect_list(of(1, "entry"))).alias("e1"),
         F.max(of(0, "whole")).alias("w0"), F.max(of(1, "whole")).alias("w1"),
     )
+    # Entries of the lowest tier that the text has.
+    gathered = gathered.withColumns({c: F.filter(c, of_tier(F.get(c, F.lit(0)))) for c in ("e0", "e1")})
     parts = _with_parts(_with_parts(gathered, "e0", "w0", "f0"), "e1", "w1", "f1").drop("e0", "w0", "e1", "w1")
     following = F.lead("f0").over(W.partitionBy("at").orderBy("row"))
     return (

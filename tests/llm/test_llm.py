@@ -350,3 +350,15 @@ def test_lm_word_factor():
     after = shares()
     assert np.allclose([after[:8].sum(), after[8], after[9:].sum()], 1, atol=1e-4)  # a distribution in each class
     assert after[15] > 0.8 and after[15] / after[16] > 5 * before[15] / before[16]  # a learnt word rises within its class
+
+
+def test_fingerprints_of_hot_groups(spark):
+    hot, near = words(120, 501, 3000), words(120, 502, 3000)
+    rows = [(i, " ".join(words(80, 600 + i, 3000)), None) for i in range(120)] + [(200 + i, " ".join(hot), None) for i in range(30)]
+    rows += [(300 + i, " ".join(f"odd{i}" if j == 3 * i + 2 else w for j, w in enumerate(near)), None) for i in range(30)]
+    df = frame(spark, rows)
+    assert fingerprints.near_distinct(df)[1] <= 120 + 1 + 4  # each hot group counts about once
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(df).collect()}
+    assert len({got[200 + i]["fingerprint"] for i in range(30)}) == 1
+    assert all(set(got[i]["fingerprint"][8:]) != {"0"} for i in (*range(200, 230), *range(300, 330)))  # subset parts
+    assert all(got[300 + i]["near_next"] > 0.6 for i in range(1, 30)) and all(got[i]["near_next"] < 0.3 for i in range(1, 120))
