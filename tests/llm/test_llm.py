@@ -362,3 +362,11 @@ def test_fingerprints_of_hot_groups(spark):
     assert len({got[200 + i]["fingerprint"] for i in range(30)}) == 1
     assert all(set(got[i]["fingerprint"][8:]) != {"0"} for i in (*range(200, 230), *range(300, 330)))  # subset parts
     assert all(got[300 + i]["near_next"] > 0.6 for i in range(1, 30)) and all(got[i]["near_next"] < 0.3 for i in range(1, 120))
+
+
+def test_fingerprints_beyond_the_broadcast_bounds(spark, monkeypatch):
+    rows = [(i, " ".join(words(80, 600 + i // 2, 400)), None) for i in range(80)] + [(200, None, None), (201, "!", None)]
+    got = sorted(map(tuple, fingerprints.fingerprint_documents(frame(spark, rows)).collect()))
+    monkeypatch.setattr(fingerprints, "MOST_TERMS", 10)
+    monkeypatch.setattr(fingerprints, "MOST_TEXTS", 1, raising=False)
+    assert sorted(map(tuple, fingerprints.fingerprint_documents(frame(spark, rows)).collect())) == got
