@@ -56,17 +56,17 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def windows(text: str | None) -> list[tuple[int, list[str]]]:
-    """(paragraph number, words) of every window of every paragraph that has words."""
+def windows(text: str | None) -> list[tuple[int, int, list[str]]]:
+    """(paragraph number, place of the first word, words) of every window of every paragraph that has words."""
     out = []
     for number, line in enumerate(text.split("\n") if text else []):
         words = words_of(line)
         if len(words) <= WINDOW:
             if words:
-                out.append((number, words))
+                out.append((number, 0, words))
             continue
         for at in range(0, len(words) - WINDOW + STRIDE, STRIDE):
-            out.append((number, words[at : at + WINDOW]))
+            out.append((number, at, words[at : at + WINDOW]))
     return out
 
 
@@ -131,7 +131,7 @@ def training_units(corpus: list[str], seed: int = 11, copies: int = 60) -> tuple
     """Varied templates with their family's number, and unknown paragraphs."""
     r = random.Random(seed)
     families = sorted(TEMPLATES)
-    others = [w for p in corpus for _, w in windows(p)]
+    others = [w for p in corpus for _, _, w in windows(p)]
     pool = [w for u in others for w in u] or ["text"]
     units, labels = [], []
     for k, family in enumerate(families):
@@ -208,10 +208,11 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     """The licences that each document states.
 
     Returns doc_id, n_paragraphs, n_licences, families (distinct, sorted, comma-joined)
-    and licences: for each confirmed paragraph its number, family, calibrated probability and similarity to the template.
-    A null or empty text has no paragraph and no licence; a paragraph that is
-    split into windows counts once, with its best window.  Repeated rows are
-    scanned each; other columns are not read.
+    and licences: for each confirmed statement its paragraph, family, calibrated probability and similarity to the template.
+    A null or empty text has no paragraph and no licence.  Of a paragraph that is
+    split into windows, every family counts, and a family again where it is
+    stated again; overlapping windows of one family count once, with the best.
+    Repeated rows are scanned each; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit_on(docs))
     kind = dict(docs.dtypes)["doc_id"]
@@ -222,19 +223,27 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
         for batch in batches:
             at = 0
             for texts in runs(batch.column(1)):
-                units = [(d, n, w) for d, t in enumerate(texts) for n, w in windows(t)]
-                found: list[dict[int, dict]] = [{} for _ in texts]
+                units = [(d, n, place, w) for d, t in enumerate(texts) for n, place, w in windows(t)]
+                rows: list[list[dict]] = [[] for _ in texts]
+                last: dict[tuple, tuple[int, dict]] = {}  # of each document, paragraph and family: its last window and statement
                 if units:
-                    p = model.probabilities(model.logits(*gram_rows([w for _, _, w in units], hashes)))
+                    p = model.probabilities(model.logits(*gram_rows([w for *_, w in units], hashes)))
                     best = p.argmax(axis=1)
                     for i in np.flatnonzero((best < len(model.families) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY)).tolist():
-                        d, n, w = units[i]
+                        d, n, place, w = units[i]
                         family = model.families[best[i]]
                         alike = similarity(w, family)
-                        if alike >= LEAST_SIMILARITY and (n not in found[d] or found[d][n]["probability"] < p[i, best[i]]):
-                            found[d][n] = {"paragraph": n, "family": family, "probability": float(p[i, best[i]]), "similarity": alike}
+                        if alike < LEAST_SIMILARITY:
+                            continue
+                        now = {"paragraph": n, "family": family, "probability": float(p[i, best[i]]), "similarity": alike}
+                        before, said = last.get((d, n, family), (-WINDOW, now))
+                        if place - before >= WINDOW:
+                            rows[d].append(now)
+                            said = now
+                        elif said["probability"] < now["probability"]:
+                            said.update(now)
+                        last[d, n, family] = place, said
                 sizes = [sum(1 for line in t.split("\n") if line.strip()) if t else 0 for t in texts]
-                rows = [[x[n] for n in sorted(x)] for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([",".join(sorted({y["family"] for y in x})) for x in rows]), pa.array(rows, found_type)],
                     ["doc_id", "n_paragraphs", "n_licences", "families", "licences"],

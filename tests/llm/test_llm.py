@@ -370,3 +370,13 @@ def test_fingerprints_beyond_the_broadcast_bounds(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "MOST_TERMS", 10)
     monkeypatch.setattr(fingerprints, "MOST_TEXTS", 1, raising=False)
     assert sorted(map(tuple, fingerprints.fingerprint_documents(frame(spark, rows)).collect())) == got
+
+
+def test_licences_of_one_long_paragraph(spark):
+    mit, nc = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    prose = [" ".join(words(n, 700 + n)) for n in (10, 700, 600, 300)]
+    model = licences.fit([" ".join(words(12, k)) for k in range(300)], rounds=15)
+    rows = [(1, " ".join([prose[0], mit, prose[1], nc, prose[2]]), None), (2, " ".join([prose[0], mit, prose[1], mit, prose[3]]), None), (3, " ".join([*words(30, 9), mit, prose[1]]), None)]
+    got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, rows), model).collect()}
+    assert got[1]["families"] == "cc-by-nc,mit" and got[1]["n_licences"] == 2 and [x["paragraph"] for x in got[1]["licences"]] == [0, 0]
+    assert (got[2]["families"], got[2]["n_licences"]) == ("mit", 2) and (got[3]["families"], got[3]["n_licences"]) == ("mit", 1)
