@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 
 # HTML's vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea select option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Left out unread: scripts, styles, templates and form controls.
+RAW = frozenset("script style template textarea select option".split())
+# Elements of formulas and drawings; their texts belong to the text around them.
+MATH_SVG = frozenset(
+    "math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror maction "
+    "svg g defs symbol use desc text tspan textpath path line polyline polygon rect circle ellipse image marker pattern mask clippath lineargradient radialgradient stop filter foreignobject".split()
+)
+INLINE = MATH_SVG | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),

@@ -380,3 +380,8 @@ def test_licences_of_one_long_paragraph(spark):
     got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, rows), model).collect()}
     assert got[1]["families"] == "cc-by-nc,mit" and got[1]["n_licences"] == 2 and [x["paragraph"] for x in got[1]["licences"]] == [0, 0]
     assert (got[2]["families"], got[2]["n_licences"]) == ("mit", 2) and (got[3]["families"], got[3]["n_licences"]) == ("mit", 1)
+
+
+def test_html_formulas_and_fallbacks():
+    page = "<body><article><h1>Head line</h1><p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p><p>See <svg viewBox='0 0 9 9'><path d='M0 0'/><text x='1'>axis label</text></svg> above.</p><object data='x.pdf'><p>The fallback of an object.</p></object><noscript><p>The text without scripts.</p></noscript><canvas><p>A drawing in words.</p></canvas><script>no('<p>x</p>')</script><textarea>no</textarea></article></body>"
+    assert [text for _, text, _ in html.leaf_blocks(page)] == ["Head line", "The energy is E=m here.", "See axis label above.", "The fallback of an object.", "The text without scripts.", "A drawing in words."]
