@@ -11,8 +11,9 @@ c(s, s') = ceil(t / (1 + t) * (s + s')) shingles.
   by verified pairs, one a member; only pairs between different components that
   are still open are then verified one by one.
 
-The boundary is the one of least cost under the counted sizes.  Equal sets are one node all
-along, so copies cost nothing beyond one aggregate.
+The boundary is the one of least cost under the counted sizes.  A node is a
+distinct set, named by a number of its own, so copies cost nothing beyond one
+aggregate, and texts that share a doc_id keep their own links.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.llm.components import connected_components
-from evidara.llm.runtime import checkpointed, mix64, to_signed
+from evidara.llm.runtime import TEXT_KEYS, checkpointed, mix64, small, to_signed, with_text_keys
 
 #: Frequent shingles whose counts order the rest by rarity, at most: a fixed size, whatever the corpus.
 FREQUENT_SHINGLES = 1 << 20
@@ -43,8 +44,12 @@ _NONE = np.empty(0, np.int64)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
-#: Document ids that may be broadcast to pick texts; with more the join shuffles.
+#: Rows that may be broadcast to pick texts or to split hubs; with more the join shuffles.
 MOST_BROADCAST_IDS = 1 << 20
+#: Pairs of one end, and members of one open list, that a task takes at a time.
+HUB_PAIRS, LIST_BLOCK = 256, 512
+#: Rarity level (a half octave) from which a shingle's list is split over tasks: 4096 occurrences.
+HOT_LEVEL = 24
 
 
 class _WordHashes(dict):
@@ -147,11 +152,16 @@ class Overlap:
         return sum(comb(a, self.needed(a, b)) for b in range(self.least(a), self.most(a) + 1))
 
 
-def choose_boundary(sizes: dict[int, int], overlap: Overlap, most: int = 64) -> int:
-    """Largest light size: the one of least total cost over the counted sizes."""
+def choose_boundary(sizes: dict[int, int], overlap: Overlap) -> int:
+    """Largest light size: the one of least total cost over the counted sizes.
+
+    The search ends where the light keys alone cost more than the best so far.
+    """
     best, at = None, 0
-    for boundary in range(most + 1):
+    for boundary in range(PAIR):
         light = sum(n * overlap.subsets(s) for s, n in sizes.items() if 0 < s <= boundary)
+        if best is not None and light > best:
+            break
         heavy = sum(n * overlap.prefix(s) for s, n in sizes.items() if overlap.most(s) > boundary)
         cost = light + HEAVY_KEY_COST * heavy
         if best is None or cost < best:
@@ -221,18 +231,19 @@ def _leveled(found: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.
 
 
 def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, frequent: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """A row per document: doc_id, n, set signature s1 and s2, profile, heavy keys and light keys.
+    """A row per document: doc_id, text keys, n, set signature s1 and s2, profile, heavy keys and light keys.
 
     A heavy key is a shingle under its order: the rarity level on top of 58 bits
     of its hash.
     """
     shared = docs.sparkSession.sparkContext.broadcast((frequent, levels << np.uint64(58)))
     kind = dict(docs.dtypes)["doc_id"]
+
     def sign(batches):
         (frequent, levels), hashes = shared.value, _WordHashes()
         for batch in batches:
             at = 0
-            for run in chain.from_iterable(shingle_runs(texts, width, hashes) for texts in _slices(batch.column(1))):
+            for run in chain.from_iterable(shingle_runs(texts, width, hashes) for texts in _slices(batch.column(3))):
                 n, s1, s2, profiles, heavy, light, pair = [], [], [], [], [], [], []
                 sets = [distinct(found) for found in run]
                 ranked = _leveled(np.concatenate(sets), frequent, levels)
@@ -259,18 +270,38 @@ def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, fr
                     light.append(keys)
                     pair.append(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(run)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(profiles, pa.binary()), _lists(heavy, pa.int64()), pa.array(light, pa.list_(pa.binary())), pa.array(pair, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "s1", "s2", "profile", "heavy", "light", "pair"],
+                    [*(batch.column(i).slice(at, len(run)) for i in range(3)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(profiles, pa.binary()), _lists(heavy, pa.int64()), pa.array(light, pa.list_(pa.binary())), pa.array(pair, pa.list_(pa.int32()))],
+                    ["doc_id", *TEXT_KEYS, "n", "s1", "s2", "profile", "heavy", "light", "pair"],
                 )
                 at += len(run)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, s1 long, s2 long, profile binary, heavy array<long>, light array<binary>, pair array<int>")
+    return (
+        with_text_keys(docs.select("doc_id", "text"))
+        .select("doc_id", *TEXT_KEYS, "text")
+        .mapInArrow(sign, f"doc_id {kind}, {TEXT_KEYS[0]} long, {TEXT_KEYS[1]} long, n long, s1 long, s2 long, profile binary, heavy array<long>, light array<binary>, pair array<int>")
+    )
+
+
+def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Checkpointed ``pairs`` with what ``left`` has of their end a and ``right`` of b; an end of many pairs in several parts.
+
+    Such an end's row is repeated for every ``HUB_PAIRS`` of its pairs and the
+    pairs are dealt over the repeats, so no task meets a whole hub.
+    """
+    out = pairs
+    for side, other, nodes in (("a", "b", left), ("b", "a", right)):
+        degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("d")).filter(f"d > {HUB_PAIRS}")
+        hubs = small(checkpointed(degree.select(side, F.ceil(F.col("d") / HUB_PAIRS).cast("int").alias("parts"))), MOST_BROADCAST_IDS)
+        dealt = out.join(hubs, side, "left").withColumn("deal", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        spread = nodes.join(hubs, side, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        out = dealt.join(spread, [side, "deal"]).drop("deal")
+    return out
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
     """The pairs (a, b) whose profiles do not rule a link out, with their other columns."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
     kept = [f"{c} {t}" for c, t in pairs.dtypes]
 
     def check(batches):
@@ -281,27 +312,38 @@ def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
             yield batch.select(names).filter(pa.array(np.abs(pa_ - pb).sum(axis=1) <= allowed))
 
     names = pairs.columns
-    return pairs.join(left, "a").join(right, "b").select(*names, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(kept))
+    return _joined(pairs, left, right).select(*names, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(kept))
+
+
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of every end of ``pairs``, one row each: the text of the set's first document."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    picked = checkpointed(sets.select("node", "first", "times").join(ends, "node", "left_semi").select("node", "first.*", "times"))
+    picked = picked.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", *TEXT_KEYS)}).drop("_null", "null")
+    same = F.lit(True)
+    for c in (*TEXT_KEYS, "doc_id"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = with_text_keys(docs.select("doc_id", "text")).join(small(picked, MOST_BROADCAST_IDS), same).select("node", "text", "times")
+    if picked.filter("times > 1").isEmpty():
+        return found.drop("times")
+    repeated = found.filter("times > 1").groupBy("node").agg(F.first("text").alias("text"))  # equal texts all
+    return found.filter("times = 1").select("node", "text").union(repeated)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, overlap: Overlap) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, overlap: Overlap) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold."""
-    ends = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = ends.count() <= MOST_BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    kind = dict(pairs.dtypes)["a"]
+    pairs = pairs.select("a", "b")
+    texts = _texts(docs, sets, pairs)
 
     def check(batches):
         hashes, sets = _WordHashes(), {}
 
-        def of(key, text):
-            if key not in sets:
+        def of(node, text):
+            if node not in sets:
                 if len(sets) > 500:
                     sets.clear()
-                sets[key] = shingle_set(text, width, hashes)
-            return sets[key]
+                sets[node] = shingle_set(text, width, hashes)
+            return sets[node]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -313,82 +355,140 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, overlap: Overlap) -
                     keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap.needed(len(x), len(y)))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}")
+    whole = _joined(pairs, texts.toDF("a", "ta"), texts.toDF("b", "tb"))
+    return whole.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10), boundary: int | None = None) -> DataFrame:
-    """Components of the documents whose shingle sets reach a Jaccard similarity.
+def _open_pairs(left: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): the members of one open list that are in different components and may be linked.
 
-    ``docs`` needs doc_id and text; other columns are not read.  Returns doc_id,
-    n_shingles and component_id, the least doc_id that links reach, itself
-    included; one row per row.  A null or empty text has no shingles and is
-    linked with nothing; fewer words than ``width`` are one shingle.  A repeated
-    doc_id is one node; a null one is linked with equal sets only as their follower and otherwise has a null component.
-    ``boundary`` overrides the cost-based choice (tests).
+    Members meet only in one band of sizes or in neighbouring ones; a long list
+    is dealt in blocks, each of which meets the list's other side in a task of its own.
+    """
+    sizes = left.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"))
+    long = small(checkpointed(sizes.filter(f"m > {LIST_BLOCK}").select("key", "band", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks"))), MOST_BROADCAST_IDS)
+    marked = left.join(long, ["key", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = marked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    # The other side: each member in its own band and in the one below, once for each block there.
+    y = left.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    y = y.join(long, ["key", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    # n and pos are those of x, m and q those of y; within a band each pair is met twice, and once is kept.
+    y = y.select("key", "band", "block", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("part").alias("far"), F.col("own").alias("their"))
+    need = F.ceil((F.col("n") + F.col("m")) * threshold[0] / F.lit(threshold[0] + threshold[1]))
+    fits = (F.col("n") * threshold[1] >= F.col("m") * threshold[0]) & (F.col("m") * threshold[1] >= F.col("n") * threshold[0])
+    once = (F.col("their") != F.col("own")) | (F.col("node") > F.col("other"))
+    met = x.join(y, ["key", "band", "block"]).filter((F.col("part") != F.col("far")) & once & fits & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= need))
+    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundary: int | None, tie_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents' rows with their sets (doc_id, text keys, n, s1, s2), and the sets in components.
+
+    The second relation has s1, s2, first (the set's first document: null flag,
+    doc_id, text keys), times (rows like that first one), copies (all its rows)
+    and component; sets without shingles are not in it.
     """
     overlap = Overlap(*threshold)
     frequent, levels, sizes = _statistics(docs, width)
     if boundary is None:
         boundary = choose_boundary(sizes, overlap)
-    rows = checkpointed(_signatures(docs, width, overlap, boundary, frequent, levels))
-    groups = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # One row a distinct set: that of its least doc_id.
-    firsts = groups.select(F.col("rep").alias("doc_id"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
-    sets = rows.filter("n > 0").join(firsts, "doc_id").filter("s1 = r1 AND s2 = r2").select("doc_id", "n", "profile", "heavy", "light", "pair").dropDuplicates(["doc_id"])
+    rows = checkpointed(_signatures(docs, width, overlap, boundary, frequent, levels).withColumn("rid", F.monotonically_increasing_id()))
+    alike = rows.filter("n > 0").groupBy("s1", "s2", "doc_id", *TEXT_KEYS).agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("times"))
+    this = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *TEXT_KEYS)
+    groups = checkpointed(alike.groupBy("s1", "s2").agg(F.min(F.struct(this.alias("first"), "times")).alias("f"), F.min("rid").alias("node"), F.sum("times").alias("copies")).select("s1", "s2", "node", "copies", "f.first", "f.times"))
+    # One row a distinct set, that of the row which gave it its number.
+    sets = groups.select("node", "first", "times").join(rows.select(F.col("rid").alias("node"), "n", "profile", "heavy", "light", "pair"), "node")
 
     # Light: sets that share a bucket key are linked through its least member.
-    keys = sets.select("doc_id", "n", F.explode(F.arrays_zip("light", "pair")).alias("k")).select("doc_id", "n", F.col("k.light").alias("key"), F.col("k.pair").alias("pair"))
-    buckets = keys.groupBy("key", "pair").agg(F.min("doc_id").alias("first"), F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"))
+    keys = sets.select("node", "n", F.explode(F.arrays_zip("light", "pair")).alias("k")).select("node", "n", F.col("k.light").alias("key"), F.col("k.pair").alias("pair"))
+    buckets = keys.groupBy("key", "pair").agg(F.min("node").alias("first"), F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"))
     # Both sizes must be there (or the one that pairs with itself): then the shared subset suffices.
     tied = buckets.filter(f"size > 1 AND low * {PAIR} + high = pair").select("key", "pair", "first")
-    light_edges = keys.join(tied, ["key", "pair"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
+    light_edges = keys.join(tied, ["key", "pair"]).select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
 
     # Heavy: inverted lists of the rarest shingles, in bands of size that links span at most one step of.
     step = float(np.log(threshold[1] / threshold[0]))
-    every = sets.select("doc_id", "n", F.posexplode("heavy").alias("pos", "key"))
-    # One shuffle by shingle; a document has a shingle once, so no list is longer than the documents.
-    listed = every.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("size > 1")
-    kept = checkpointed(listed.select("key", "doc_id", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("n_pos")))
+    every = sets.select("node", "n", F.posexplode("heavy").alias("pos", "key"))
+    # One shuffle by shingle finds those of one set only.  Frequent shingles, whose lists
+    # may be long, are kept unseen: their level tells them, and a list of one gives no pair.
+    hot = F.shiftrightunsigned("key", 58) >= HOT_LEVEL
+    listed = every.filter(~hot).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("size > 1").drop("size").unionByName(every.filter(hot))
+    kept = checkpointed(listed.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("n_pos")))
     n = F.shiftright("n_pos", 32)
     band = F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
-    lists = kept.select("key", "doc_id", n.alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), band.alias("band"))
-    heads = lists.groupBy("key", "band").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", "band", F.col("head.doc_id").alias("b"), F.col("head.n").alias("m"))
+    lists = kept.select("key", "node", n.alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), band.alias("band"))
+    heads = lists.groupBy("key", "band").agg(F.min(F.struct("node", "n")).alias("head")).select("key", "band", F.col("head.node").alias("b"), F.col("head.n").alias("m"))
     heads = heads.union(heads.withColumn("band", F.col("band") + 1))
     fits = (F.col("n") * threshold[1] >= F.col("m") * threshold[0]) & (F.col("m") * threshold[1] >= F.col("n") * threshold[0])
-    own = lists.join(heads, ["key", "band"]).filter((F.col("doc_id") != F.col("b")) & fits)
-    tries = own.groupBy(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).agg(F.count(F.lit(1)).alias("common"))
-    tries = checkpointed(_possible(tries, sets, overlap))
+    own = lists.join(heads, ["key", "band"]).filter((F.col("node") != F.col("b")) & fits)
+    tries = own.groupBy(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    tries = checkpointed(_possible(checkpointed(tries), sets, overlap))
     # First one pair a document, that of most common lists; it mostly joins a whole group.
-    best = tries.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b")
-    edges = checkpointed(_verified(best, docs, width, overlap).union(light_edges))
+    best = checkpointed(tries.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b"))
+    edges = _verified(best, docs, sets, width, overlap).union(light_edges)
+    if tie_ids:
+        several = alike.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).filter("x <> y")
+        several = checkpointed(several.select("doc_id", F.col("x.s1").alias("x1"), F.col("x.s2").alias("x2")))
+        if not several.isEmpty():
+            named = groups.select("s1", "s2", "node")
+            first = several.join(named.toDF("x1", "x2", "b"), ["x1", "x2"]).select("doc_id", "b")
+            edges = edges.union(alike.select("s1", "s2", "doc_id").join(first, "doc_id").join(named, ["s1", "s2"]).select(F.col("node").alias("a"), "b"))
+    edges = checkpointed(edges)
     parts = connected_components(edges)
 
     # What is still open: pairs of a list whose documents are in different components.
-    member = lists.join(parts, lists["doc_id"] == parts["node"], "left").select("doc_id", "n", "pos", "key", F.coalesce("component", "doc_id").alias("part"))
+    member = lists.join(parts, "node", "left").select("node", "n", "pos", "key", "band", F.col("band").alias("own"), F.coalesce("component", "node").alias("part"))
     open_keys = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     left = checkpointed(member.join(open_keys, "key", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * threshold[0] / F.lit(threshold[0] + threshold[1]))
-    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    pairs = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .filter((F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & (reach >= need))
-        .filter((F.col("x.n") * threshold[1] >= F.col("y.n") * threshold[0]) & (F.col("y.n") * threshold[1] >= F.col("x.n") * threshold[0]))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-        .join(best, ["a", "b"], "left_anti")
-    )
+    pairs = checkpointed(_open_pairs(left, threshold).join(best, ["a", "b"], "left_anti"))
     pairs = checkpointed(_possible(pairs, sets, overlap))
     if not pairs.isEmpty():
-        more = checkpointed(_verified(pairs, docs, width, overlap))
+        more = checkpointed(_verified(pairs, docs, sets, width, overlap))
         if not more.isEmpty():
             stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = connected_components(stars.union(more))
+    return rows.select("doc_id", *TEXT_KEYS, "n", "s1", "s2"), groups.join(parts, "node", "left").select("s1", "s2", "first", "times", "copies", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10), boundary: int | None = None) -> DataFrame:
+    """Components of the documents whose shingle sets reach a Jaccard similarity.
 
-    shared = groups.join(parts, groups["rep"] == parts["node"], "left").filter("copies > 1 OR component IS NOT NULL")
-    shared = shared.select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    ``docs`` needs doc_id and text; other columns are not read.  Returns doc_id,
+    n_shingles and component_id, the least doc_id that links reach, itself
+    included; one row per row.  A null or empty text has no shingles and is
+    linked with nothing; fewer words than ``width`` are one shingle.  Texts that
+    share a doc_id keep the links of each and are one document, so they are in
+    one component.  Rows with a null doc_id are documents of their own that
+    others are linked through; component_id is null where all of a component's are.
+    ``boundary`` overrides the cost-based choice (tests).
+    """
+    rows, found = _components(docs, width, threshold, boundary, tie_ids=True)
+    found = checkpointed(found)
+    least = checkpointed(found.groupBy("component").agg(F.min("first.doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    # A set of one row that stands alone tells nothing that its row does not.
+    shared = found.join(small(least, MOST_BROADCAST_IDS), "component").filter("sets > 1 OR copies > 1").select("s1", "s2", "component_id")
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2")
         .join(shared, ["s1", "s2"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10)) -> tuple[DataFrame, DataFrame]:
+    """The rows to drop so that one of each component stays, by doc_id and text keys; and those kept that repeat.
+
+    Rows are told apart by doc_id and text, also where doc_ids repeat or are
+    null.  The row of least doc_id (null ones last) and then text key stays.  Rows that
+    equal in both are given in the second relation if they are the ones to
+    keep: one of them stays.  Rows without shingles are linked with nothing.
+    """
+    rows, found = _components(docs, width, threshold, None, tie_ids=False)
+    found = checkpointed(found)
+    keep = found.groupBy("component").agg(F.min(F.struct("first", "times")).alias("k"), F.count(F.lit(1)).alias("sets"))
+    keep = checkpointed(keep.select("component", F.col("k.first").alias("keep"), F.col("k.times").alias("keep_times"), "sets"))
+    # The row of a set of one row that stands alone stays.
+    of_set = found.join(small(keep, MOST_BROADCAST_IDS), "component").filter("sets > 1 OR copies > 1").select("s1", "s2", "keep")
+    mine = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *TEXT_KEYS)
+    gone = rows.filter("n > 0").join(of_set, ["s1", "s2"]).filter(~mine.eqNullSafe(F.col("keep"))).select("doc_id", *TEXT_KEYS).distinct()
+    repeats = keep.filter("keep_times > 1").select("keep.doc_id", *[f"keep.{c}" for c in TEXT_KEYS])
+    return checkpointed(gone), checkpointed(repeats)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN_DIR: list[str] = []
 MASK = (1 << 64) - 1
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -22,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made.
+    Read from ``spark.checkpoint.dir``; only where that is unset and driver and
+    executors are one process (tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
@@ -31,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext.getCheckpointDir()
     if made:
         return os.path.dirname(made)
-    return tempfile.mkdtemp(prefix="evidara-")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="evidara-"))
+    return _OWN_DIR[0]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,6 +49,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def restarted(df: DataFrame) -> tuple[DataFrame, str]:
+    """A checkpoint of ``df`` without its size estimate, and its path.
+
+    A checkpoint carries the estimate on, and a loop of joins would square it in every round.
+    """
+    spark, held = df.sparkSession, checkpointed(df)
+    rdd = held._jdf.queryExecution().logical().rdd()
+    plain = DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, held._jdf.schema(), False), spark)
+    return plain, rdd.getCheckpointFile().get()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a checkpoint that nothing will read again."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (it is counted); as it is beyond that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+#: Names of the two columns that tell texts apart.
+TEXT_KEYS = ("__k1", "__k2")
+
+
+def with_text_keys(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with 128 bits of hash of a text column; a null text counts as the empty one."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return df.withColumns({TEXT_KEYS[0]: F.xxhash64(text), TEXT_KEYS[1]: F.xxhash64(F.lit(1), text)})
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over an array of uint64 (wraps silently)."""
     with np.errstate(over="ignore"):

@@ -385,3 +385,23 @@ def test_licences_of_one_long_paragraph(spark):
 def test_html_formulas_and_fallbacks():
     page = "<body><article><h1>Head line</h1><p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p><p>See <svg viewBox='0 0 9 9'><path d='M0 0'/><text x='1'>axis label</text></svg> above.</p><object data='x.pdf'><p>The fallback of an object.</p></object><noscript><p>The text without scripts.</p></noscript><canvas><p>A drawing in words.</p></canvas><script>no('<p>x</p>')</script><textarea>no</textarea></article></body>"
     assert [text for _, text, _ in html.leaf_blocks(page)] == ["Head line", "The energy is E=m here.", "See axis label above.", "The fallback of an object.", "The text without scripts.", "A drawing in words."]
+
+
+def test_jaccard_of_texts_that_share_an_id(spark):
+    a, b = words(60, 901), words(60, 902)
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a, "z"])), (9, " ".join([*b, "z"])), (None, " ".join([*a, "y"])), (None, "lone text of nobody"), (12, ""), (12, None)]
+    df = frame(spark, [(i, t, None) for i, t in rows])
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard.near_duplicate_components(df, 3, (9, 10)).collect())
+    assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7), (8, 7), (9, 7), (12, 12), (12, 12)]
+    gone, repeats = jaccard.near_duplicates(df, 3, (9, 10))
+    assert sorted(r["doc_id"] or -1 for r in gone.collect()) == [-1, 8, 9] and repeats.count() == 0  # both texts of 7 stay
+
+
+def test_jaccard_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB_PAIRS", 8)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", 6)
+    base = words(80, 903)
+    rows = [(i, " ".join(base[:i] + [f"odd{i}"] + base[i + 1 :])) for i in range(80)] + [(100 + i, " ".join(words(20, 904) + words(20, 910 + i // 2))) for i in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_components(frame(spark, [(i, t, None) for i, t in rows]), 3, (9, 10)).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
