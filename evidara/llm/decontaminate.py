@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidara.llm.runtime import checkpointed
+from evidara.llm.runtime import TEXT_KEYS, checkpointed, with_text_keys
 from evidara.llm.words import words_of
 
 WINDOW_WORDS = 10
@@ -53,17 +53,18 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """Occurrences: rid (a number for the document's row), doc_id, n_words, item_id, start, stop.
+    """Occurrences: doc_id, the text's keys, n_words, item_id, start, stop.
 
-    Every document row has at least one row here; item_id is null in those that
-    only carry n_words.
+    Every document row has one row here with a null start, which carries
+    n_words.  Rows are told apart by doc_id and text, which the second run of a
+    lost task gives again; rows equal in both have their occurrences once each.
     """
     spots = checkpointed(item_windows(benchmark))
     kinds = sorted(r["k"] for r in spots.select("k").distinct().collect()) or [SHINGLE_WORDS]
     tokens = spots.select("k", "token").distinct()
     n_tokens, n_windows = tokens.count(), spots.select("item_id", "window").distinct().count()
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("w"))
-    spread = _zipped(texts, "w").select("rid", "doc_id", "w", F.posexplode_outer("z").alias("pos", "z"))
+    texts = with_text_keys(docs.select("doc_id", "text")).select("doc_id", *TEXT_KEYS, words_of(F.col("text")).alias("w"))
+    spread = _zipped(texts, "w").select("doc_id", *TEXT_KEYS, "w", F.posexplode_outer("z").alias("pos", "z"))
 
     # Rarity: in how many places of all documents each of the benchmark's shingles stands.
     if n_tokens <= block * WINDOW_WORDS:
@@ -84,15 +85,16 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDO
     for number in range(blocks):
         for k in kinds if number else sorted({*kinds, SHINGLE_WORDS}):
             mine = prefix.filter((F.col("k") == k) & (F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == number)).drop("k")
+            # Of the windows that a document's first place meets only one carries n_words on.
+            mine = mine.withColumn("nth", F.row_number().over(W.partitionBy("token").orderBy("item_id", "window")))
             at = spread.withColumn("token", _token(k)).join(F.broadcast(mine), "token", "left")
             start = F.col("pos") - F.col("off")
             inside = F.col("len").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("w"))
             same = inside & F.when(inside, F.slice("w", start + 1, F.col("len")) == F.col("window")).otherwise(F.lit(False))
-            carries = F.coalesce(F.col("pos"), F.lit(0)) == 0 if (number, k) == (0, SHINGLE_WORDS) else F.lit(False)
-            rows = at.filter(carries | same).select(
-                "rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(same, F.col("item_id")).alias("item_id"),
-                F.when(same, start).alias("start"), F.when(same, start + F.col("len")).alias("stop"),
-            )
+            carries = (F.coalesce(F.col("pos"), F.lit(0)) == 0) & (F.coalesce("nth", F.lit(1)) == 1) if (number, k) == (0, SHINGLE_WORDS) else F.lit(False)
+            said = at.filter(carries | same).withColumn("hit", F.explode(F.filter(F.array(F.when(same, True), F.when(carries, False)), lambda x: x.isNotNull())))
+            told = lambda c: F.when(F.col("hit"), c)
+            rows = said.select("doc_id", *TEXT_KEYS, F.size("w").cast("long").alias("n_words"), told(F.col("item_id")).alias("item_id"), told(start).alias("start"), told(start + F.col("len")).alias("stop"))
             out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -104,16 +106,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items_sha256 and contaminated.  Null or empty texts have no words and no
     hits; an item without words has no window; an empty benchmark hits nothing
     (items_sha256 is then that of ''). Repeated rows and null ids are kept as
-    rows; a null item_id counts as no item. Extra columns are not read.
+    rows; words of an item with a null item_id are hit, but it counts as no
+    item. Extra columns are not read.
     """
-    found = find_windows(docs, benchmark)
-    seen = W.partitionBy("rid").orderBy(F.asc_nulls_last("start"), "stop").rowsBetween(W.unboundedPreceding, -1)
+    row = ["doc_id", *TEXT_KEYS]
+    found = find_windows(docs, benchmark).groupBy(*row, "n_words", "item_id", "start", "stop").agg(F.count(F.lit(1)).alias("times"))
+    seen = W.partitionBy(*row).orderBy(F.asc_nulls_last("start"), "stop").rowsBetween(W.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(seen), F.lit(0))))
     items = F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string")))
     return (
         found.withColumn("new", F.coalesce(new, F.lit(0)))
-        .groupBy("rid", "doc_id", "n_words")
-        .agg(F.sum("new").cast("long").alias("n_hit"), items.alias("items"))
+        .groupBy(*row, "n_words")
+        .agg(F.sum("new").cast("long").alias("n_hit"), items.alias("items"), F.max(F.when(F.col("start").isNull(), F.col("times"))).alias("times"))
+        .withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))  # a row each again
         .select(
             "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -121,6 +121,10 @@ def test_decontamination(spark):
     assert got == sorted((i, *brute_windows(t, items)) for i, t in [*enumerate(texts), (2, texts[2])])
     assert decontaminate.decontaminate(df, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
+    more = frame(spark, [(None, texts[2], None), (None, texts[2], None), (5, texts[3], None), (5, texts[4], None)])
+    odd = spark.createDataFrame([(None, " ".join(item), "x", "y"), (1, "zeta eta", "x", "y")], "item_id long, text string, window string, k string")
+    got = sorted((r["doc_id"] or -1, r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(more, odd).collect())
+    assert got == [(-1, 14, 0), (-1, 14, 0), (5, 0, 0), (5, 22, 0)]
     blocks = decontaminate.find_windows(df, bench, block=3).filter("item_id IS NOT NULL").select("doc_id", "item_id").distinct().count()
     assert blocks == decontaminate.find_windows(df, bench).filter("item_id IS NOT NULL").select("doc_id", "item_id").distinct().count()
 
