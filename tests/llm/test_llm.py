@@ -409,3 +409,43 @@ def test_jaccard_of_a_hub(spark, monkeypatch):
     rows = [(i, " ".join(base[:i] + [f"odd{i}"] + base[i + 1 :])) for i in range(80)] + [(100 + i, " ".join(words(20, 904) + words(20, 910 + i // 2))) for i in range(40)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_components(frame(spark, [(i, t, None) for i, t in rows]), 3, (9, 10)).collect()}
     assert got == brute_components(rows, 3, 9, 10)
+
+
+def test_minimax_of_refined_cells_against_brute_force():
+    r = np.random.Generator(np.random.PCG64(8))
+    for _ in range(200):
+        n, shards = int(r.integers(1, 60)), int(r.integers(1, 7))
+        groups = sorted(zip(r.integers(-(2**63), 2**63 - 1, n).tolist(), r.integers(16, 400, n).tolist()))
+        exact = sharding.smallest_capacity([x for _, x in groups], shards)
+
+        def sums(bits, keep=None, groups=groups):
+            by = collections.defaultdict(list)
+            for h, x in groups:
+                if keep is None or h >> (64 - bits + sharding.MORE_BITS) in keep:
+                    by[h >> (64 - bits)].append(x)
+            return [(bits, p, sum(x), len(x)) for p, x in by.items()]
+
+        cells = sharding.Cells(sums(2))
+        while at := cells.undecided(shards):
+            parts = []
+            for bits in {cells.cells[i][0] for i in at}:
+                parts += sums(bits + sharding.MORE_BITS, {cells.cells[i][1] for i in at if cells.cells[i][0] == bits})
+            cells = cells.split(at, parts)
+        sizes = [c[2] for c in cells.cells]
+        cuts = sharding.minimax_cuts(sizes, shards)
+        assert max(sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)])) == exact and sum(sizes) == sum(x for _, x in groups)
+
+
+def test_sharding_reaches_the_optimum_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FIRST_BITS", 3)
+    r = np.random.Generator(np.random.PCG64(9))
+    texts = ["y" * int(k) + str(i) for i, k in enumerate(r.integers(0, 120, 300))] + ["twin"] * 5 + [None, "", "z" * 1500]
+    df = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    rows = sharding.shard_documents(df, shards=7).collect()
+    loads = collections.Counter()
+    for x in rows:
+        loads[x["shard"]] += x["size"]
+    hashed = df.selectExpr("xxhash64(coalesce(text, '')) AS h", "octet_length(coalesce(text, '')) + 16 AS n").groupBy("h").agg({"n": "sum"}).orderBy("h").collect()
+    assert max(loads.values()) == sharding.smallest_capacity([x[1] for x in hashed], 7) and len(rows) == len(texts)
+    few = sharding.shard_documents(df.limit(3), shards=7).collect()
+    assert len(few) == 3 and all(x["slot"] == 0 for x in few) and sharding.shard_documents(df.limit(0), shards=7).count() == 0
