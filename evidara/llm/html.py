@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -39,8 +40,13 @@ HINTS = frozenset(
     "nav menu navbar navigation breadcrumb breadcrumbs sidebar side aside related widget footer header masthead top bottom share social newsletter subscribe signup login form search copyright legal "
     "content article post entry main story body text page paragraph lead headline title".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Elements that tell a part of the page by themselves.
+SECTIONS = frozenset("nav header footer aside article main form head section".split())
+# Names of elements that can hold blocks; others give no feature of their own.
+KNOWN = MATH_SVG | INLINE | SECTIONS | frozenset(CLOSED_BY) | frozenset("html body div address blockquote details dialog dir dl fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup menu ol pre summary table tbody tfoot thead ul title caption colgroup button label legend output progress meter object noscript canvas video audio iframe search center".split())
+# A quote that nothing closes is a stray character of its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>?", re.S)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
 _PIECE = re.compile(r"[a-z]+")
 
@@ -52,43 +58,87 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def leaf_blocks(html: str) -> list[tuple[tuple[tuple[str, tuple[str, ...]], ...], str, int]]:
-    """The leaf blocks of a page in order: (ancestors, text, characters inside links).
+class Open:
+    """An open element and what its ancestors tell, kept so that no block reads them again.
 
-    An ancestor is (tag, class hints).  Character references are decoded, white
-    space runs are one space, blocks without text are left out.  Unclosed and
-    stray tags are mended the way browsers mostly do.
+    Inline elements without hints tell nothing.  ``block`` is the tag of the
+    innermost element that is not inline.
     """
-    blocks, stack, texts = [], [], []
-    held = [0]
+
+    __slots__ = ("block", "hints", "near", "own", "parent", "said", "tag", "tags")
+
+    def __init__(self, tag: str, hints: tuple[str, ...], parent: Open | None):
+        self.tag, self.parent, self.said = tag, parent, None
+        self.own, self.tags, self.hints, self.near, self.block = (parent.own, parent.tags, parent.hints, parent.near, parent.block) if parent else ("none", frozenset(), frozenset(), None, None)
+        if tag not in INLINE:
+            self.block = tag
+        if tag in INLINE and not hints:
+            return
+        self.own = tag
+        if tag in KNOWN and tag not in self.tags:
+            self.tags |= {tag}
+        if not self.hints.issuperset(hints):
+            self.hints |= set(hints)
+        if hints:
+            self.near = hints[0]
+        elif tag in SECTIONS:
+            self.near = tag
+
+    def features(self) -> list[str]:
+        """In a fixed order, as their weights are summed."""
+        if self.said is None:
+            self.said = ["bias", f"own={self.own}", *(f"in={t}" for t in sorted(self.tags) if t not in ("html", "body")), *(f"hint={h}" for h in sorted(self.hints))]
+            # The innermost part of the page that its name or tag tells.
+            if self.near:
+                self.said.append(f"near={self.near}")
+        return self.said
+
+
+_ROOT = Open("", (), None)
+_ROOT.own, _ROOT.block, _ROOT.tags = "none", None, frozenset()
+
+
+def leaf_blocks(html: str) -> list[tuple[Open, str, int]]:
+    """The leaf blocks of a page in order: (innermost open element, text, characters inside links).
+
+    Character references are decoded, white space runs are one space, blocks
+    without text are left out.  Unclosed and stray tags are mended the way
+    browsers mostly do.  The time is linear in the page's length, however deep
+    its tags are nested.
+    """
+    blocks, stack, texts = [], [_ROOT], []
+    count: Counter = Counter()  # open elements by tag
+    endless: set[str] = set()  # raw tags without a further end tag
+    held = 0
 
     def flush():
+        nonlocal held
         if texts:
-            text = _SPACE.sub(" ", unescape("".join(texts)).replace("\x00", "")).strip()
+            text = _SPACE.sub(" ", unescape("".join(texts))).strip()
             if text:
-                ancestors = tuple((t, h) for t, h in stack if t not in INLINE or h)
-                blocks.append((ancestors, text, held[0]))
+                blocks.append((stack[-1], text, held))
             texts.clear()
-        held[0] = 0
+        held = 0
 
     def close(tag):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                if tag not in INLINE:
-                    flush()
-                del stack[i:]
-                return
+        if count[tag]:
+            if tag not in INLINE:
+                flush()
+            while True:
+                last = stack.pop().tag
+                count[last] -= 1
+                if last == tag:
+                    return
 
     at, n = 0, len(html)
-    links = 0
     while at < n:
         found = _TOKEN.search(html, at)
         until = found.start() if found else n
         if until > at:
             piece = html[at:until]
             texts.append(piece)
-            if links and any(t == "a" for t, _ in stack):
-                held[0] += len(piece)
+            if count["a"]:
+                held += len(piece)
         if not found:
             break
         at = found.end() if found.end() > found.start() else found.start() + 1
@@ -101,7 +151,9 @@ def leaf_blocks(html: str) -> list[tuple[tuple[tuple[str, tuple[str, ...]], ...]
                 texts.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if end is None:
+                endless.add(tag)
             if tag not in INLINE:
                 texts.append(" ")
             # Without an end tag a form control or a template ends with its parent; a script or a style reaches to the end.
@@ -113,16 +165,13 @@ def leaf_blocks(html: str) -> list[tuple[tuple[tuple[str, tuple[str, ...]], ...]
             elif tag == "br":
                 texts.append(" ")
             continue
-        for open_tag, _ in reversed(stack):
-            if tag in CLOSED_BY.get(open_tag, ()):
-                close(open_tag)
-                break
-            if open_tag not in INLINE:
-                break
+        block = stack[-1].block
+        if tag in CLOSED_BY.get(block, ()):
+            close(block)
         if tag not in INLINE:
             flush()
-        links += tag == "a"
-        stack.append((tag, _hints(found[3]) if found[3] else ()))
+        stack.append(Open(tag, _hints(found[3]) if found[3] else (), stack[-1]))
+        count[tag] += 1
     flush()
     return blocks
 
@@ -130,21 +179,8 @@ def leaf_blocks(html: str) -> list[tuple[tuple[tuple[str, tuple[str, ...]], ...]
 def features(blocks: list) -> list[list[str]]:
     """The active features of each block."""
     out, n = [], len(blocks)
-    for i, (ancestors, text, linked) in enumerate(blocks):
-        own = ancestors[-1][0] if ancestors else "none"
-        f = ["bias", f"own={own}"]
-        tags = {t for t, _ in ancestors}
-        f += [f"in={t}" for t in tags if t not in ("html", "body")]
-        hints = {h for _, hs in ancestors for h in hs}
-        f += [f"hint={h}" for h in hints]
-        # The innermost part of the page that its name or tag tells.
-        for t, hs in reversed(ancestors):
-            if hs:
-                f.append(f"near={hs[0]}")
-                break
-            if t in ("nav", "header", "footer", "aside", "article", "main", "form", "head", "section"):
-                f.append(f"near={t}")
-                break
+    for i, (inside, text, linked) in enumerate(blocks):
+        f = [*inside.features()]
         words = text.count(" ") + 1
         f.append(f"words={min(words.bit_length(), 7)}")
         if linked * 2 > len(text):
@@ -231,6 +267,13 @@ def train_chain(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 40
     return ChainModel(index, states, moves)
 
 
+# Names that pages give to parts of a kind, in class and id attributes.
+PART_NAMES = {
+    "nav": ["menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs"], "header": ["header", "masthead", "top"], "footer": ["footer", "bottom", "copyright", "legal"],
+    "ad": ["ad", "ads", "advert", "advertisement", "promo", "promoted", "sponsor", "sponsored", "banner"], "aside": ["sidebar", "side", "aside", "related", "widget"],
+    "notice": ["cookie", "cookies", "cookie-banner", "consent", "notice", "alert", "message", "gdpr", "popup", "modal", "overlay"],
+    "form": ["newsletter", "subscribe", "signup", "login", "form", "search"], "comments": ["comments", "comment", "replies", "reply", "disqus", "discussion"], "share": ["share", "social"],
+}
 _SYLLABLES = "ka lo mi ten dra su vel por ni sha gre tu ba len fos".split()
 
 
@@ -254,6 +297,10 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[str]
 
     def boilerplate(kind):
         c = r.choice
+        if kind in PART_NAMES and r.random() < 0.35:
+            inner = c((f"<p>{sentence()}</p>", sentence(), f"<h3>{words(1, 3)}</h3><p>{sentence()}</p><p>{sentence()}</p>", links()))
+            tag = c(("div", "div", "section", "aside"))
+            return f'<{tag} {c(("class", "class", "id"))}="{c(PART_NAMES[kind])}">{inner}</{tag}>'
         return {
             "nav": lambda: c((f"<nav>{links()}</nav>", f'<div class="menu">{links()}</div>', f'<ul class="nav">{"".join(f"<li><a href=#>{words(1, 2)}</a></li>" for _ in range(4))}</ul>', f'<div id="breadcrumbs"><a href="/">{words(1, 1)}</a> &gt; <a href="/x">{words(1, 2)}</a></div>')),
             "header": lambda: c((f"<header><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>", f'<div class="header"><a href="/">{words(1, 3)}</a></div>', f"<header>{words(1, 4)}{links()}</header>")),

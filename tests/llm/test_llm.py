@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -449,3 +450,40 @@ def test_sharding_reaches_the_optimum_over_groups(spark, monkeypatch):
     assert max(loads.values()) == sharding.smallest_capacity([x[1] for x in hashed], 7) and len(rows) == len(texts)
     few = sharding.shard_documents(df.limit(3), shards=7).collect()
     assert len(few) == 3 and all(x["slot"] == 0 for x in few) and sharding.shard_documents(df.limit(0), shards=7).count() == 0
+
+
+def test_urls_of_any_length(spark):
+    made = ["http://x.example.net/en/" + "a" * 1_000_000, "http://" + "b." * 2000 + "net/q", "http://a.net\x01/x", "http://a.net/x", "http://a.net/x", ""] + [f"http://h{i}.org/fr/{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(made)], "page_id long, url string, host string, verdict string, rule string")
+    got = {r["page_id"]: r for r in urls.filter_urls(df).collect()}
+    assert [got[i]["rule"] for i in range(7)] == ["example.net/en/", "net/", None, "net/", "net/", None, "org/fr/"] and len(got) == len(made)
+    assert urls.filter_urls(df.limit(0)).count() == 0
+    machine = urls.ShiftAnd([g for _, g, _ in urls.SITE_RULES] + urls.JUNK_GLOBS * 8)
+    strings = [f".{r['host']}{urls.HOST_END}{r['path']}" for i, r in got.items() if i]
+    assert machine.words > 1 and [machine._one(s) for s in strings] == machine.run(strings).tolist()
+
+
+def test_html_of_pages_that_no_generator_wrote(spark):
+    chain = html.default_model()
+    post = """<html><body><div id="top"><a href="/">Daily Post</a><ul class="menu"><li><a href="/a">News</a></li><li><a href="/b">Sport</a></li></ul></div>
+<main><article><h1>River bridge reopens</h1><p class="lead">The old bridge over the river was opened again on Monday after two years of work.</p><figure><img src=x><figcaption>The bridge on Monday.</figcaption></figure><p>Engineers replaced all of the cables &amp; the deck.</p><div class="advertisement">Buy two, get one free!</div><h2>What comes next</h2><p>A second bridge is planned.</p></article></main>
+<section id="comments"><h3>3 comments</h3><p>Great news for the town.</p><p>Finally!</p></section><footer><p>&copy; 2024 Daily Post. All rights reserved.</p></footer></body></html>"""
+    soup = '<body><header>My blog</header><div class="cookie-banner">We use cookies.<button>OK</button></div><div class="content"><h1>Soup</h1><p>Boil water.<p>Add salt<p>Wait.</div><aside class="sidebar"><h3>About me</h3><p>I cook.</p></aside><div class="footer">Contact</div></body>'
+    old = '<table class="nav"><tr><td><a href=1>one</a><td><a href=2>two</a></table><div><h1>Old page</h1><p>This page was written in 1999 and it has only one paragraph of text that matters.</p></div><hr><p class="copyright">Copyright 1999 by nobody</p>'
+    assert html.extract_text(post, chain).split("\n") == ["River bridge reopens", "The old bridge over the river was opened again on Monday after two years of work.", "The bridge on Monday.", "Engineers replaced all of the cables & the deck.", "What comes next", "A second bridge is planned."]
+    assert html.extract_text(soup, chain) == "Soup\nBoil water.\nAdd salt\nWait." and html.extract_text(old, chain).startswith("Old page\nThis page") and "Copyright" not in html.extract_text(old, chain)
+    pages = spark.createDataFrame([(1, "u", soup), (1, "u", soup), (None, None, "<p>One</p>" * 3)], "page_id long, url string, html string")
+    got = html.extract_pages(pages).collect()
+    assert len(got) == 3 and sum(r["text"].startswith("Soup") for r in got) == 2 and html.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_html_of_hostile_pages():
+    chain = html.default_model()
+    began = time.time()
+    for page in ("<div>a" * 100_000, "<b>" * 100_000 + "<li>x</li>" * 20_000 + "</i>" * 100_000, "<option>a" * 50_000, '<a title="x' * 50_000, "<!x" * 50_000 + "<" * 50_000, "<p>" + "word " * 400_000):
+        html.extract_text(page, chain)
+    assert time.time() - began < 60
+    assert [t for _, t, _ in html.leaf_blocks('<p>a</p><a title="x>one two')] == ["a", "one two"]
+    assert [t for _, t, _ in html.leaf_blocks("<p>a</ b>c</><?x y?>d</p>")] == ["acd"]
+    deep = html.leaf_blocks('<div class="x"><section><article id="main"><p><b class="ad">hi</b> <i>there')
+    assert [(o.own, o.near, sorted(o.tags), sorted(o.hints)) for o, _, _ in deep] == [("p", "main", ["article", "div", "p", "section"], ["main"])]
