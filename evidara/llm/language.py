@@ -152,6 +152,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[str]], keep: tupl
 
     A null text, an empty one and one without a letter give ``und`` and 0; so
     does everything if no language was learnt.  Whole texts count, however long.
+    Of languages at the same distance the first by name is taken.
     Only the text is an input.  Rows are neither merged nor dropped; where ``keep`` has a column of an
     output's name, choose other names with ``pred`` and ``score``.
     """
@@ -169,14 +170,27 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[str]], keep: tupl
     return docs.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter at all."""
+    return bool(text) and bool(_letters()[_code_points(text)].any())
+
+
 def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], least: float) -> DataFrame:
-    """The rows whose text has a letter and a language score of at least ``least``, with all their columns."""
+    """The rows whose text has a letter and a language score of at least ``least``, with all their columns.
+
+    If no language was learnt, there is nothing that a text could be unlike: all rows with a letter stay.
+    """
     model = RankProfiles(profiles)
 
+    def kept(text: str | None) -> bool:
+        if not model.languages:
+            return has_letter(text)
+        lang, score = model.predict(text)
+        return lang != UNDETERMINED and score >= least
+
     def run(batches):
         for batch in batches:
-            keep = [lang != UNDETERMINED and score >= least for lang, score in map(model.predict, batch.column("text").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([kept(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -487,3 +487,68 @@ def test_html_of_hostile_pages():
     assert [t for _, t, _ in html.leaf_blocks("<p>a</ b>c</><?x y?>d</p>")] == ["acd"]
     deep = html.leaf_blocks('<div class="x"><section><article id="main"><p><b class="ad">hi</b> <i>there')
     assert [(o.own, o.near, sorted(o.tags), sorted(o.hints)) for o, _, _ in deep] == [("p", "main", ["article", "div", "p", "section"], ["main"])]
+
+
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item, base = " ".join(words(12, 77)), words(80, 78)
+    a, b, c = (" ".join(words(60, k)) for k in (81, 82, 83))
+    rows = [(None, "x " + item), (None, a), (7, b), (7, c), (7, c), (8, a), (9, " ".join(base)), (None, " ".join(edited(base, 60, "z"))), (None, None), (10, "")]
+    for labelled in (True, False):
+        at = f"{tmp_path}/{labelled}"
+        spark.createDataFrame([(i, t, "en" if labelled else None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs, left = spark.read.parquet(f"{at}/documents.parquet"), []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, at)
+            left.append(sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()))
+        near = sorted([(0, "x " + item), (7, b), (7, c), (8, a), (9, " ".join(base))])
+        assert left[0] == sorted((i or 0, t) for i, t in rows if t) and left[1] == near and left[2] == [x for x in near if item not in x[1]]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_against_brute_force(spark):
+    r = np.random.Generator(np.random.PCG64(12))
+    letters = {"aa": "abcdé", "bb": "bcdef", "cc": "bcdef"}  # the last two are alike
+    rows = [(i, " ".join("".join(r.choice(list(letters[lang]), r.integers(1, 7))) for _ in range(int(r.integers(1, 40)))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [(200, "Abc " * 5000 + "1", "aa"), (201, "ÉÉ!", None), (202, "fed fed", None), (202, "fed fed", None), (203, "zzz", None)]
+    profiles = language.fit_profiles(frame(spark, rows))
+    profiles["dd"] = profiles["aa"]  # a tie: the first by name
+    model = language.RankProfiles(profiles)
+
+    def counts(text):
+        out = collections.Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f"_{word}_"
+            out.update(word)
+            out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return out
+
+    whole = collections.defaultdict(collections.Counter)
+    for _, text, lang in rows:
+        if lang:
+            whole[lang] += counts(text)
+    assert all(profiles[k] == [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: language.PROFILE_GRAMS]] for k, c in whole.items())
+    got = collections.defaultdict(set)
+    for x in language.predict_language(frame(spark, rows), profiles).collect():
+        got[x["doc_id"]].add((x["lang_pred"], round(x["score"], 9)))
+    for i, text, _ in rows:
+        own = sorted(counts(text).items(), key=lambda x: (-x[1], model._code(x[0]) if set(x[0]) <= set(model.index) | {"_"} else 1 << 60))
+        assert len(own) <= model.document_grams
+        best = None
+        for lang in sorted(profiles):
+            rank = {g: k for k, g in enumerate(profiles[lang])}
+            cost = sum(min(abs(rank[g] - k), model.penalty) if g in rank else model.penalty for k, (g, _) in enumerate(own))
+            best = min(best or (cost, lang), (cost, lang))
+        if i != 203:  # of n-grams outside all profiles only their number counts
+            assert got[i] == {(best[1], round(1 - best[0] / (model.penalty * len(own)), 9))}
+    assert got[203] == {("aa", 0.0)}
