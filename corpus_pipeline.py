@@ -10,42 +10,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.llm import decontaminate, jaccard, language, pieces
-from evidara.llm.runtime import checkpointed, table
+from evidara.llm.runtime import TEXT_KEYS, checkpointed, small, table, with_text_keys
 
 #: Documents below this language score have next to none of any learnt language's n-grams.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Ids that may be broadcast to pick rows; with more the join shuffles.
-MOST_BROADCAST_IDS = 1 << 20
+#: Rows to drop that may be broadcast; with more the join shuffles.
+MOST_BROADCAST_ROWS = 1 << 20
 
 
-def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` semi- or anti-joined with a relation of doc_id, broadcast only if it is small."""
-    ids = checkpointed(ids.select("doc_id"))
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", how)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with text keys, without the rows that equal one of ``gone`` in all its columns, nulls included."""
+    mine, theirs = docs.alias("mine"), small(gone, MOST_BROADCAST_ROWS).alias("theirs")
+    same = F.lit(True)
+    for c in gone.columns:
+        same = same & F.col(f"mine.{c}").eqNullSafe(F.col(f"theirs.{c}"))
+    return mine.join(theirs, same, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (a null text too) and those like no learnt language."""
+    """Drops documents without a letter (a null text too) and those like no learnt language.
+
+    If no document has a lang, nothing is learnt and only those without a letter go.
+    """
     return language.keep_identified(docs, language.fit_profiles(docs), LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingles at a similarity of 0.8 stays: that of least doc_id.
 
-    Rows with a null doc_id cannot be told apart and all stay; of rows that share a doc_id one stays.
+    A document is a row, whether its doc_id is null or stands in other rows with
+    other texts; null doc_ids come last.  Of rows equal in doc_id and text one stays.
     """
-    found = checkpointed(jaccard.near_duplicate_components(docs, width=5, threshold=(8, 10)))
-    first = found.filter("doc_id = component_id")
-    kept = _picked(docs, first.distinct(), "left_semi")
-    if not first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    keyed, columns = with_text_keys(docs), docs.columns
+    gone, repeats = jaccard.near_duplicates(docs, width=5, threshold=(8, 10))
+    kept = _without(keyed, gone)
+    if repeats.isEmpty():
+        return kept.select(columns)
+    row = ["doc_id", *TEXT_KEYS]
+    texts = repeats.select(*TEXT_KEYS).distinct()
+    again = kept.join(small(texts, MOST_BROADCAST_ROWS), [*TEXT_KEYS], "left_semi").dropDuplicates(row)
+    return _without(kept, texts).select(columns).unionByName(again.select(columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document in which a window of a benchmark item occurs."""
-    found = decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark")).filter("item_id IS NOT NULL")
-    return _picked(docs, found.select("doc_id").distinct(), "left_anti")
+    """Drops every document in which a window of a benchmark item occurs, whatever its doc_id or the item's."""
+    found = decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark")).filter("start IS NOT NULL")
+    gone = checkpointed(found.select(*TEXT_KEYS).distinct())
+    return _without(with_text_keys(docs), gone).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
