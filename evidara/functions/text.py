@@ -62,6 +62,26 @@ def verdict_rest(answer: Column, options: tuple[str, ...] = ("SUPPORTED", "CONTR
     return F.regexp_replace(F.regexp_replace(answer, rf"\AVERDICT: ({'|'.join(options)})(?:\r?\n|\z)", ""), r"\A\s+|\s+\z", "")
 
 
+# The verdicts that an evaluated answer may begin with.
+STANCES = ("SUPPORT", "CONTRADICT", "NOT_ENOUGH_INFO")
+_ENDS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(text, _ENDS, "")
+
+
+def stance_verdict(answer: Column) -> Column:
+    """The stance that a stripped answer names on its first line, or null."""
+    return verdict(stripped(answer), STANCES)
+
+
+def stance_rest(answer: Column) -> Column:
+    """The stripped answer behind its stance; all of it where it names none."""
+    return stripped(verdict_rest(stripped(answer), STANCES))
+
+
 def occurrences(text: Column, quote: Column) -> Column:
     """How often ``quote`` stands in ``text``, overlaps included; 0 for an empty quote."""
     escaped = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
@@ -89,20 +109,21 @@ def normalised_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
 
 
-def _bare(text: str) -> str:
-    folded = " ".join(unicodedata.normalize("NFKC", text).lower().split())
-    first, last = 0, len(folded)
-    while first < last and unicodedata.category(folded[first])[0] == "P":
-        first += 1
-    while last > first and unicodedata.category(folded[last - 1])[0] == "P":
-        last -= 1
-    return folded[first:last].strip()
+@F.pandas_udf(T.StringType())
+def nfkc_udf(text: pd.Series) -> pd.Series:
+    """NFKC and nothing else."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
 
+def canonical_key(text: Column) -> Column:
+    """NFKC, lower case, white space collapsed, without punctuation at either end; only NFKC leaves the JVM."""
+    folded = F.trim(F.regexp_replace(F.lower(nfkc_udf(text)), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(folded, r"^\p{P}+|\p{P}+$", ""))
 
-@F.pandas_udf(T.StringType())
-def canonical_key_udf(text: pd.Series) -> pd.Series:
-    """NFKC, lower case, collapsed, without punctuation at either end."""
-    return text.map(lambda t: None if t is None else _bare(t))
+
+def canonical_key_udf(text: Column) -> Column:
+    """As ``canonical_key``."""
+    return canonical_key(text)
 
 
 @F.pandas_udf(T.StringType())

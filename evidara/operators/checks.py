@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,17 @@ class ContractError(ValueError):
     """A relation breaks the contract of an operator."""
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in ``spark.checkpoint.dir``; a folder of this machine only where one process is all there is."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ContractError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {context.master})")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidara-"))
+    return df.checkpoint()
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their counts."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from evidara.functions.numeric import round_to
 from evidara.functions.text import tokens
-from evidara.operators.checks import broadcast_if_small
+from evidara.operators.checks import broadcast_if_small, small
 
 K1, B = 1.2, 0.75
+#: Pairs of query and term that may be broadcast with their weights.
+MOST_BROADCAST_TERMS = 200_000
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 
 
@@ -44,18 +46,41 @@ def corpus_statistics(documents: DataFrame) -> DataFrame:
     return full_text(documents).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
 
 
+def matched_postings(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, term, dl, tf) of the wanted terms, and of each document one row with a null term.
+
+    The documents are read into words once; what needs the corpus as a whole
+    (its size, mean length and document frequencies) is summed from this relation.
+    """
+    words = full_text(documents).select("doc_id", tokens(F.col("text")).alias("w"))
+    spread = words.select("doc_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    known = broadcast_if_small(wanted.select("term").distinct().withColumn("known", F.lit(True)))
+    found = spread.join(known, "term", "left").filter("known OR term IS NULL")
+    # tf is summed from a value of the row, so that all that reads this relation can share its shuffle.
+    return found.groupBy("doc_id", "term", "dl").agg(F.sum(F.when(F.col("dl") >= 0, 1)).alias("tf"))
+
+
+def _weights(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, term, idf, avgdl) of every query term that some document has."""
+    each = F.when(F.col("term").isNull(), F.col("tf"))
+    stats = found.agg(F.sum(each).cast("double").alias("n"), (F.sum(each * F.col("dl")) / F.sum(each)).alias("avgdl"))
+    df = found.filter("term IS NOT NULL").groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # One row of statistics meets the terms of the queries.
+    return wanted.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+
+
+def _bm25(found: DataFrame, weights: DataFrame, few: bool, digits: int) -> DataFrame:
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = found.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return scored.withColumn("score", round_to(F.col("score"), digits))
+
+
 def bm25_scores(queries: DataFrame, documents: DataFrame, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score) of every document with a query term; positive."""
     wanted = query_terms(queries)
-    found = postings(documents, wanted)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_statistics(documents).first()  # one row
-    n, avgdl = float(stats["n"]), float(stats["avgdl"] or 1.0) or 1.0
-    idf = F.log(1.0 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = broadcast_if_small(wanted.join(df, "term").select("query_id", "term", idf.alias("idf")))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    scored = found.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return scored.withColumn("score", round_to(F.col("score"), digits))
+    found = matched_postings(documents, wanted)
+    return _bm25(found.filter("term IS NOT NULL"), _weights(found, wanted), small(wanted, MOST_BROADCAST_TERMS), digits)
 
 
 def top_k(scores: DataFrame, k: int, *more: str) -> DataFrame:
@@ -69,9 +94,19 @@ def bm25_search(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     return top_k(bm25_scores(queries, documents), k).filter("score > 0")
 
 
-def bm25_rescore(queries: DataFrame, documents: DataFrame, pool: DataFrame) -> DataFrame:
-    """A score for every (query_id, doc_id) of the pool, 0 where no term is shared."""
-    scores = bm25_scores(queries, documents)
+def bm25_rescore(queries: DataFrame, documents: DataFrame, pool: DataFrame, digits: int = 6) -> DataFrame:
+    """A score for every (query_id, doc_id) of the pool, 0 where no term is shared.
+
+    Only postings of pooled documents are scored; the corpus counts for the weights.
+    """
+    wanted = query_terms(queries)
+    found = matched_postings(documents, wanted)
+    asked = pool.select("query_id", "doc_id").distinct()
+    mine = found.filter("term IS NOT NULL").join(asked, "doc_id")
+    weights = _weights(found, wanted)
+    weights = F.broadcast(weights) if small(wanted, MOST_BROADCAST_TERMS) else weights
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scores = mine.join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(round_to(F.sum(part), digits).alias("score"))
     return pool.select("query_id", "doc_id").join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
