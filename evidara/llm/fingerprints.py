@@ -4,7 +4,10 @@ The lexicon is a band of inverse document frequency, counted over near-distinct
 texts: a group of copies or near copies counts once, however large it is.  A
 text without a term in the band falls back on its terms below the band, else on
 those above it.  A document's distinct lexicon terms are sorted and hashed once for the whole lexicon and once for each
-randomised subset of it.  Subsets come in three levels: they keep one term in
+randomised subset of it (64 bits each).  A level's subsets are disjoint cells of
+a hash of the terms, so they are random but not independent of each other: a
+term that two texts do not share spoils one part of a level instead of several.
+Subsets come in three levels: they keep one term in
 16, 64 or 256, so that texts of any length have a level whose subsets hold a few
 of their terms.  The likeness of two fingerprints is the share of equal parts
 among those that either has, on the sparsest level with enough of them.
@@ -106,7 +109,7 @@ def _with_parts(df: DataFrame, entries: str, whole: str, out: str) -> DataFrame:
     """
 
     def hashed(terms: Column) -> Column:
-        return F.when(F.size(terms) > 0, F.hash(terms)).otherwise(F.lit(0))
+        return F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(F.lit(0).cast("long"))
 
     def on_level(i: int):
         return lambda e: _cell(e, i) < LEVELS[i][1]
@@ -117,14 +120,14 @@ def _with_parts(df: DataFrame, entries: str, whole: str, out: str) -> DataFrame:
     own = [f"__{out}_{i}" for i in range(len(LEVELS))]
     # Columns of their own: each subset then filters only the terms of its level.
     df = df.withColumns({c: F.filter(entries, on_level(i)) for i, c in enumerate(own)})
-    parts = [F.when(F.size(entries) > 0, F.hash(entries)).otherwise(F.col(whole))]
+    parts = [F.when(F.size(entries) > 0, F.xxhash64(entries)).otherwise(F.col(whole))]
     for i, c in enumerate(own):
         parts += [hashed(F.filter(c, in_subset(i, k))) for k in range(LEVELS[i][1])]
     return df.withColumn(out, F.array(*parts)).drop(*own)
 
 
 def _shown(parts: Column) -> Column:
-    return F.array_join(F.transform(parts, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.array_join(F.transform(parts, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -206,7 +209,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     entry = F.shiftleft(F.coalesce("tier", F.lit(1)).cast("long"), TERM_BITS).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
     kept = with_tiers(spread, words).select(
         "at", "row", "border", "doc_id", "n_chars", F.col("v.version").alias("version"), F.when(F.col("t").isNotNull(), entry).alias("entry"),
-        F.when(lead_row, F.hash("v.text", F.lit("no term"))).alias("whole"),
+        F.when(lead_row, F.xxhash64("v.text", F.lit("no term"))).alias("whole"),
         F.when(lead_row & (F.col("v.version") == 0), F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"),
     )
     of_tier = lambda first: lambda e: F.shiftright(e, TERM_BITS) == F.shiftright(first, TERM_BITS)

@@ -552,3 +552,53 @@ def test_language_against_brute_force(spark):
         if i != 203:  # of n-grams outside all profiles only their number counts
             assert got[i] == {(best[1], round(1 - best[0] / (model.penalty * len(own)), 9))}
     assert got[203] == {("aa", 0.0)}
+
+
+def test_fingerprints_against_recomputation(spark):
+    import xxhash
+
+    rows = [(i, " ".join(words(70, 600 + i // 2, 300)), None) for i in range(60)] + [(70, None, None), (71, "one", None), (71, "two", None), (72, "é É ü", None), (73, "x " * 30_000 + "rare", None)]
+    df = frame(spark, rows)
+    tier = {r["term"]: r["tier"] for r in fingerprints.lexicon(df).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def folded(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v & ((1 << 64) - 1)).to_bytes(8, "little"), h)
+        return h
+
+    def brute(text):
+        found = {w for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))}
+        terms = [xxhash.xxh64_intdigest(w.encode(), 42) for w in found]
+        entries = sorted((1 if tier.get(signed(t)) is None else tier[signed(t)]) << fingerprints.TERM_BITS | t & ((1 << fingerprints.TERM_BITS) - 1) for t in terms)
+        entries = [e for e in entries if e >> fingerprints.TERM_BITS == entries[0] >> fingerprints.TERM_BITS]
+        out, shift = [folded(entries) if entries else folded([text.encode(), b"no term"])], 0
+        for bits, subsets in fingerprints.LEVELS:
+            for k in range(subsets):
+                own = [e for e in entries if e >> shift & ((1 << bits) - 1) == k]
+                out.append(folded(own) if own else 0)
+            shift += bits
+        return out
+
+    def alike(a, b):
+        value, at = float(a[0] == b[0]), 1
+        for i, (_, n) in enumerate(fingerprints.LEVELS):
+            pairs = [(x, y) for x, y in zip(a[at : at + n], b[at : at + n]) if x or y]
+            if len(pairs) >= (fingerprints.LEAST_PARTS if i else 1):
+                value = sum(x == y for x, y in pairs) / len(pairs)
+            at += n
+        return value
+
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (-x[0], x[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        mine, other = brute(t), brute(edited)
+        shown = lambda parts: "".join(f"{x:016x}" for x in parts)
+        want.append((i, len(t), shown(mine), shown(other), round(alike(mine, other), 9), round(alike(mine, brute(after)), 9)))
+    got = [(r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprint_documents(df).collect()]
+    assert sorted(got) == sorted(want)
+    alone = fingerprints.fingerprint_documents(df.filter("doc_id = 5")).first()
+    assert alone["near_next"] == 1.0 and alone["near_edited"] <= 1.0
