@@ -45,7 +45,9 @@ _NONE = np.empty(0, np.int64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 #: Rows that may be broadcast to pick texts or to split hubs; with more the join shuffles.
-MOST_BROADCAST_IDS = 1 << 20
+MOST_BROADCAST_IDS = 1 << 17
+#: Numbers of rows that are copies of another's set that may be broadcast.
+MOST_OTHERS = 1 << 20
 #: Pairs of one end, and members of one open list, that a task takes at a time.
 HUB_PAIRS, LIST_BLOCK = 256, 512
 #: Rarity level (a half octave) from which a shingle's list is split over tasks: 4096 occurrences.
@@ -315,10 +317,10 @@ def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
     return _joined(pairs, left, right).select(*names, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(kept))
 
 
-def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of every end of ``pairs``, one row each: the text of the set's first document."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    picked = checkpointed(sets.select("node", "first", "times").join(ends, "node", "left_semi").select("node", "first.*", "times"))
+    picked = checkpointed(groups.select("node", "first", "times").join(ends, "node", "left_semi").select("node", "first.*", "times"))
     picked = picked.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", *TEXT_KEYS)}).drop("_null", "null")
     same = F.lit(True)
     for c in (*TEXT_KEYS, "doc_id"):
@@ -330,10 +332,10 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.filter("times = 1").select("node", "text").union(repeated)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, overlap: Overlap) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int, overlap: Overlap) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold."""
     pairs = pairs.select("a", "b")
-    texts = _texts(docs, sets, pairs)
+    texts = _texts(docs, groups, pairs)
 
     def check(batches):
         hashes, sets = _WordHashes(), {}
@@ -396,8 +398,13 @@ def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundar
     alike = rows.filter("n > 0").groupBy("s1", "s2", "doc_id", *TEXT_KEYS).agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("times"))
     this = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *TEXT_KEYS)
     groups = checkpointed(alike.groupBy("s1", "s2").agg(F.min(F.struct(this.alias("first"), "times")).alias("f"), F.min("rid").alias("node"), F.sum("times").alias("copies")).select("s1", "s2", "node", "copies", "f.first", "f.times"))
-    # One row a distinct set, that of the row which gave it its number.
-    sets = groups.select("node", "first", "times").join(rows.select(F.col("rid").alias("node"), "n", "profile", "heavy", "light", "pair"), "node")
+    # One row a distinct set, that of the row which gave it its number; few others go, so the key arrays mostly stay where they are.
+    others = checkpointed(rows.filter("n > 0").select("s1", "s2", F.col("rid").alias("node")).join(groups.filter("copies > 1").select("s1", "s2", F.col("node").alias("of")), ["s1", "s2"]).filter("node <> of").select("node"))
+    sets = rows.filter("n > 0").select(F.col("rid").alias("node"), "n", "profile", "heavy", "light", "pair")
+    if others.count() <= MOST_OTHERS:
+        sets = sets.join(F.broadcast(others), "node", "left_anti")
+    else:
+        sets = checkpointed(sets.join(others, "node", "left_anti"))
 
     # Light: sets that share a bucket key are linked through its least member.
     keys = sets.select("node", "n", F.explode(F.arrays_zip("light", "pair")).alias("k")).select("node", "n", F.col("k.light").alias("key"), F.col("k.pair").alias("pair"))
@@ -425,7 +432,7 @@ def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundar
     tries = checkpointed(_possible(checkpointed(tries), sets, overlap))
     # First one pair a document, that of most common lists; it mostly joins a whole group.
     best = checkpointed(tries.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b"))
-    edges = _verified(best, docs, sets, width, overlap).union(light_edges)
+    edges = _verified(best, docs, groups, width, overlap).union(light_edges)
     if tie_ids:
         several = alike.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).filter("x <> y")
         several = checkpointed(several.select("doc_id", F.col("x.s1").alias("x1"), F.col("x.s2").alias("x2")))
@@ -443,7 +450,7 @@ def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundar
     pairs = checkpointed(_open_pairs(left, threshold).join(best, ["a", "b"], "left_anti"))
     pairs = checkpointed(_possible(pairs, sets, overlap))
     if not pairs.isEmpty():
-        more = checkpointed(_verified(pairs, docs, sets, width, overlap))
+        more = checkpointed(_verified(pairs, docs, groups, width, overlap))
         if not more.isEmpty():
             stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = connected_components(stars.union(more))
@@ -464,9 +471,9 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: tuple[
     """
     rows, found = _components(docs, width, threshold, boundary, tie_ids=True)
     found = checkpointed(found)
-    least = checkpointed(found.groupBy("component").agg(F.min("first.doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")))
     # A set of one row that stands alone tells nothing that its row does not.
-    shared = found.join(small(least, MOST_BROADCAST_IDS), "component").filter("sets > 1 OR copies > 1").select("s1", "s2", "component_id")
+    least = found.groupBy("component").agg(F.min("first.doc_id").alias("component_id"), F.sum("copies").alias("all")).filter("all > 1")
+    shared = found.join(small(checkpointed(least.select("component", "component_id")), MOST_BROADCAST_IDS), "component").select("s1", "s2", "component_id")
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2")
         .join(shared, ["s1", "s2"], "left")
@@ -484,10 +491,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     """
     rows, found = _components(docs, width, threshold, None, tie_ids=False)
     found = checkpointed(found)
-    keep = found.groupBy("component").agg(F.min(F.struct("first", "times")).alias("k"), F.count(F.lit(1)).alias("sets"))
-    keep = checkpointed(keep.select("component", F.col("k.first").alias("keep"), F.col("k.times").alias("keep_times"), "sets"))
+    keep = found.groupBy("component").agg(F.min(F.struct("first", "times")).alias("k"), F.sum("copies").alias("all")).filter("all > 1")
+    keep = checkpointed(keep.select("component", F.col("k.first").alias("keep"), F.col("k.times").alias("keep_times")))
     # The row of a set of one row that stands alone stays.
-    of_set = found.join(small(keep, MOST_BROADCAST_IDS), "component").filter("sets > 1 OR copies > 1").select("s1", "s2", "keep")
+    of_set = found.join(small(keep, MOST_BROADCAST_IDS), "component").select("s1", "s2", "keep")
     mine = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *TEXT_KEYS)
     gone = rows.filter("n > 0").join(of_set, ["s1", "s2"]).filter(~mine.eqNullSafe(F.col("keep"))).select("doc_id", *TEXT_KEYS).distinct()
     repeats = keep.filter("keep_times > 1").select("keep.doc_id", *[f"keep.{c}" for c in TEXT_KEYS])
