@@ -8,6 +8,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +114,17 @@ def runs(column: pa.Array, most: int = 1_000_000, rows: int = 500):
                 run, held = [], 0
     if run:
         yield run
+
+
+def slices(column: pa.Array, most: int = 1_000_000, rows: int = 2000):
+    """Parts of a column of texts, each of about so many bytes and at most so many rows, or one longer text."""
+    if not len(column):
+        return
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "left")) + 1), len(column))
+        yield column.slice(at, to - at)
+        at = to
