@@ -602,3 +602,24 @@ def test_fingerprints_against_recomputation(spark):
     assert sorted(got) == sorted(want)
     alone = fingerprints.fingerprint_documents(df.filter("doc_id = 5")).first()
     assert alone["near_next"] == 1.0 and alone["near_edited"] <= 1.0
+
+
+def test_licences_of_many_kinds(spark):
+    notice = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    cases = [
+        ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3.0"), ("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+        ("this page is not licensed under the MIT License", ""), ("Code is never released under the BSD license.", ""), (f"Some file.\n\n{notice}\n\nMore of it.", "gpl"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "lgpl"),
+        ("Students at MIT released a licence plate reader.", ""), ("All rights of way are reserved for the king", ""), ("Released under the MIT License.\n" * 2, "mit"),
+        (" ".join(words(58, 40)) + " this work is licensed under a Creative Commons Attribution 4.0 International License " + " ".join(words(90, 41)), "cc-by"), (" ".join(words(20000, 42)), ""),
+    ]
+    model = licences.fit([" ".join(words(12, k)) for k in range(300)])
+    df = frame(spark, [(i, t, None) for i, (t, _) in enumerate(cases)])
+    got = {r["doc_id"]: r for r in licences.scan_licences(df, model).collect()}
+    assert {i: got[i]["families"] for i in got} == {i: f for i, (_, f) in enumerate(cases)}
+    assert got[12]["n_licences"] == 2 and got[7]["n_licences"] == 1 and got[7]["licences"][0]["paragraph"] == 2 and got[7]["n_paragraphs"] == 6
+    assert licences.scan_licences(df.limit(0), model).count() == 0
+    told = licences.held_out(model, [" ".join(words(12, 900 + k)) for k in range(300)])
+    assert told["accuracy"] > 0.9 and told["units"] > 500
+    lines = licences.sample_lines(df, 5)
+    assert len(lines) == 5 and lines == licences.sample_lines(df.repartition(3), 5)
