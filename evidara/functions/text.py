@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 WORD = r"[\p{L}0-9]+"
 ABSTENTION = "INSUFFICIENT EVIDENCE"
 DIGEST = r"^[0-9a-f]{64}$"
+_UNIT = re.compile(r"\r\n|.", re.S)
 SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 
 
@@ -92,10 +95,11 @@ def canonical_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-def sanitised_error(message: Column, most: int = 240) -> Column:
-    """URLs redacted, white space collapsed, at most ``most`` characters."""
-    redacted = F.regexp_replace(message, r"https?://\S+", "[redacted-url]")
-    return F.left(F.trim(F.regexp_replace(redacted, r"\s+", " ")), F.lit(most))
+def sanitised_error(message: Column, most: int = 240, kind: Column | None = None) -> Column:
+    """White space collapsed, URLs redacted, at most ``most`` characters; behind the error's ``kind``, if it is given."""
+    redacted = F.regexp_replace(F.trim(F.regexp_replace(message, r"\s+", " ")), r"https?://\S+", "<redacted-url>" if kind is not None else "[redacted-url]")
+    short = F.left(F.trim(redacted), F.lit(most))
+    return short if kind is None else F.concat(kind, F.lit(": "), short)
 
 
 def plain_normalised(text: Column) -> Column:
@@ -168,3 +172,64 @@ def rights_class(licence_text: Column) -> Column:
         .when(F.coalesce(licence_text, F.lit("")) == "", F.lit("none"))
         .otherwise(F.lit("other"))
     )
+
+
+def parse_utc(value: Column) -> Column:
+    """The timestamp of an ISO date and time that says UTC (``Z`` or ``+00:00``), else null."""
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|\+00:00)$"
+    return F.when(value.rlike(shape), F.try_to_timestamp(value))
+
+
+def seconds_between(started: Column, finished: Column) -> Column:
+    """Seconds from one UTC text to another, null where one is no UTC time or the order is wrong."""
+    a, b = parse_utc(started), parse_utc(finished)
+    return F.when(b >= a, F.timestamp_diff("MICROSECOND", a, b) / 1e6)
+
+
+def is_relative_path(path: Column) -> Column:
+    """Whether a path stays inside its folder: not blank, not absolute, no ``..`` part, no backslash."""
+    return (F.trim(path) != "") & ~path.startswith("/") & ~path.contains("\\") & ~F.array_contains(F.split(path, "/"), "..")
+
+
+def canonical_object(**fields: Column) -> Column:
+    """A flat JSON object with sorted keys, no spaces and nulls kept."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def identity(parent: Column, **fields: Column) -> Column:
+    """A link of an identity chain: the digest of the canonical object with its parent's digest in it."""
+    return F.sha2(canonical_object(parent=parent, **fields).cast("binary"), 256)
+
+
+# The classes of rights that a text's Creative Commons links give it.
+RIGHTS_NONE, RIGHTS_SEVERAL, RIGHTS_ND, RIGHTS_NC, RIGHTS_FREE, RIGHTS_SA = (
+    "unresolved_custom_or_missing", "unresolved_conflicting_licenses", "unresolved_no_derivatives", "noncommercial_research_conditional", "attribution_research_candidate", "unresolved_sharealike",
+)
+# Fixed value: links of licences and of the public-domain dedication that count, with their version.
+CC_LINK = r"(?i)https?://(?:www\.)?creativecommons\.org/(?:licenses/(?:by(?:-nc)?(?:-sa|-nd)?)/(?:1\.0|2\.0|2\.5|3\.0|4\.0)|publicdomain/zero/1\.0)/?(?=$|[\s\"'<>),;]|\.(?:$|\s))"
+
+
+def licence_links(text: Column) -> Column:
+    """The distinct licences that a text links, as sorted ``code/version``."""
+    links = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CC_LINK), 0)
+    return F.array_sort(F.array_distinct(F.transform(links, lambda x: F.regexp_extract(F.lower(x), r"(?:licenses|publicdomain)/([a-z-]+/[0-9.]*[0-9])", 1))))
+
+
+def link_rights(text: Column) -> Column:
+    """The class of rights of a text by its licence links; several different ones, or none, leave it unresolved."""
+    found = licence_links(text)
+    code = F.substring_index(F.get(found, F.lit(0)), "/", 1)
+    return (
+        F.when(F.size(found) == 0, RIGHTS_NONE).when(F.size(found) > 1, RIGHTS_SEVERAL).when(code.endswith("-nd"), RIGHTS_ND).when(code.contains("-nc"), RIGHTS_NC).when(code.isin("by", "zero"), RIGHTS_FREE).otherwise(RIGHTS_SA)
+    )
+
+
+@F.pandas_udf(T.StructType([T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.ArrayType(T.IntegerType()))]))
+def newline_boundaries_udf(text: pd.Series) -> pd.DataFrame:
+    """For every boundary of the text with one kind of line end: its place in the raw text, in characters and in UTF-8 bytes."""
+    chars, octets = [], []
+    for t in text:
+        units = [] if t is None else _UNIT.findall(t)
+        chars.append([0, *accumulate(map(len, units))])
+        octets.append([0, *accumulate(len(u.encode("utf-8", "surrogatepass")) for u in units)])
+    return pd.DataFrame({"chars": chars, "bytes": octets})

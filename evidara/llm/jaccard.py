@@ -415,19 +415,33 @@ def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundar
 
     # Heavy: inverted lists of the rarest shingles, in bands of size that links span at most one step of.
     step = float(np.log(threshold[1] / threshold[0]))
-    every = sets.select("node", "n", F.posexplode("heavy").alias("pos", "key"))
-    # One shuffle by shingle finds those of one set only.  Frequent shingles, whose lists
-    # may be long, are kept unseen: their level tells them, and a list of one gives no pair.
-    hot = F.shiftrightunsigned("key", 58) >= HOT_LEVEL
-    listed = every.filter(~hot).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("size > 1").drop("size").unionByName(every.filter(hot))
-    kept = checkpointed(listed.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("n_pos")))
+    packed = F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("n_pos")
+    every = sets.select("node", "n", F.posexplode("heavy").alias("pos", "key")).select("key", "node", packed)
     n = F.shiftright("n_pos", 32)
     band = F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
+    # One shuffle by shingle finds those of one set only and each list's heads (its least member
+    # in a row's own band and in the one below).  Frequent shingles, whose lists may be
+    # long, are kept unseen: their level tells them, and a list of one gives no pair.
+    hot = F.shiftrightunsigned("key", 58) >= HOT_LEVEL
+    by_key = W.partitionBy("key")
+    listed = every.filter(~hot).withColumn("size", F.count(F.lit(1)).over(by_key)).filter("size > 1").withColumns({"n": n, "band": band})
+    heads = {"h1": by_key.orderBy("band").rangeBetween(0, 0), "h0": by_key.orderBy("band").rangeBetween(-1, -1)}
+    listed = listed.withColumns({h: F.min(F.struct("node", "n")).over(w) for h, w in heads.items()})
+
+    def near(h: str):
+        m = F.col(f"{h}.n")
+        fits = (F.col("n") * threshold[1] >= m * threshold[0]) & (m * threshold[1] >= F.col("n") * threshold[0])
+        return F.when((F.col(f"{h}.node") != F.col("node")) & fits, F.col(f"{h}.node")).alias(h)
+
+    none = F.lit(None).cast("long")
+    kept = checkpointed(listed.select("key", "node", "n_pos", near("h1"), near("h0")).unionByName(every.filter(hot).withColumns({"h1": none, "h0": none})))
     lists = kept.select("key", "node", n.alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), band.alias("band"))
-    heads = lists.groupBy("key", "band").agg(F.min(F.struct("node", "n")).alias("head")).select("key", "band", F.col("head.node").alias("b"), F.col("head.n").alias("m"))
-    heads = heads.union(heads.withColumn("band", F.col("band") + 1))
-    fits = (F.col("n") * threshold[1] >= F.col("m") * threshold[0]) & (F.col("m") * threshold[1] >= F.col("n") * threshold[0])
-    own = lists.join(heads, ["key", "band"]).filter((F.col("node") != F.col("b")) & fits)
+    own = kept.filter(~hot).select("node", F.explode(F.array("h1", "h0")).alias("b")).filter("b IS NOT NULL")
+    # Long lists meet their heads in a join instead, which Spark can split.
+    long = lists.filter(hot)
+    head = long.groupBy("key", "band").agg(F.min(F.struct("node", "n")).alias("h1")).select("key", "band", "h1")
+    head = head.union(head.withColumn("band", F.col("band") + 1))
+    own = own.union(long.join(head, ["key", "band"]).select("node", near("h1")).filter("h1 IS NOT NULL"))
     tries = own.groupBy(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).agg(F.count(F.lit(1)).alias("common"))
     tries = checkpointed(_possible(checkpointed(tries), sets, overlap))
     # First one pair a document, that of most common lists; it mostly joins a whole group.
@@ -444,7 +458,7 @@ def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundar
     parts = connected_components(edges)
 
     # What is still open: pairs of a list whose documents are in different components.
-    member = lists.join(parts, "node", "left").select("node", "n", "pos", "key", "band", F.col("band").alias("own"), F.coalesce("component", "node").alias("part"))
+    member = lists.join(small(parts, MOST_BROADCAST_IDS), "node", "left").select("node", "n", "pos", "key", "band", F.col("band").alias("own"), F.coalesce("component", "node").alias("part"))
     open_keys = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     left = checkpointed(member.join(open_keys, "key", "left_semi"))
     pairs = checkpointed(_open_pairs(left, threshold).join(best, ["a", "b"], "left_anti"))
