@@ -166,7 +166,8 @@ def best_pair(spark, sf_dir):
     return intervals.best_pair(windows, reference, "k").select("k", "covered")
 
 
-@query()
+@query("""WITH c AS (SELECT o_custkey, least(min(o_orderkey) * 2, o_custkey * 2 + 1) AS component FROM orders GROUP BY 1)
+SELECT DISTINCT o_orderkey * 2 AS node, component FROM orders JOIN c USING (o_custkey) UNION SELECT o_custkey * 2 + 1, component FROM c""")
 def connected_components(spark, sf_dir):
     """Orders that share a customer nation and segment key; components over customers and orders."""
     orders = views.table(spark, sf_dir, "orders")
@@ -253,7 +254,14 @@ def telemetry_retries(spark, sf_dir):
     return reports.telemetry_retries(e)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, vec_id // 8 AS g, label % 2 AS pol, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.id, a.g, a.pol, a.v AS s, b.v AS r, c.v AS o, d.v AS q FROM e a JOIN e b ON b.id = a.g * 8 + (a.id + 1) % 8 JOIN e c ON c.id = a.g * 8 + (a.id + 2) % 8 LEFT JOIN e d ON d.id = a.g * 8 + (a.id + 3) % 8),
+x AS (SELECT c.g AS candidate_id, c.id AS ci, d.id AS di, CASE WHEN c.pol = d.pol THEN 1.0::DOUBLE ELSE -1.0 END AS polarity,
+ (list_cosine_similarity(c.s, d.s) + 1) / 2 AS ss, (list_cosine_similarity(c.s, d.o) + 1) / 2 AS so, (list_cosine_similarity(c.o, d.s) + 1) / 2 AS os, (list_cosine_similarity(c.o, d.o) + 1) / 2 AS oo,
+ (list_cosine_similarity(c.r, d.r) + 1) / 2 AS predicate, CASE WHEN c.q IS NULL OR d.q IS NULL THEN 0.0 ELSE (list_cosine_similarity(c.q, d.q) + 1) / 2 END AS qualifier FROM p c JOIN p d ON c.g = d.g AND c.id % 2 = 0 AND d.id % 2 = 1),
+y AS (SELECT *, greatest(ss, so, os, oo) AS entity, (ss + oo - so - os) / 2 AS direction FROM x),
+z AS (SELECT *, (entity + predicate + (direction + 1) / 2 + (polarity + 1) / 2 + qualifier) / 5 AS pair_mean, row_number() OVER (PARTITION BY candidate_id ORDER BY round((entity + predicate + (direction + 1) / 2) / 3, 9) DESC, ci::VARCHAR, di::VARCHAR) AS i FROM y)
+SELECT candidate_id, ci::VARCHAR AS claim_proposition, di::VARCHAR AS document_proposition, round(entity, 6) AS entity, round(predicate, 6) AS predicate, round(direction, 6) AS direction, polarity, round(qualifier, 6) AS qualifier, round(pair_mean, 6) AS pair_mean FROM z WHERE i = 1""")
 def proposition_pairs(spark, sf_dir):
     """Best pairs of propositions over vectors as surfaces, one candidate a label and eight-vector group."""
     e = views.table(spark, sf_dir, "embeddings")

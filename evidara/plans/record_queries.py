@@ -8,6 +8,7 @@ from evidara.functions import text as T
 from evidara.functions.numeric import round_to
 from evidara.operators import chunking, context, evaluation, graph, intervals, journal, propositions, reports, review, sampling
 from evidara.plans import views
+from evidara.plans.engine import Engine
 from evidara.plans.views import query, table
 
 _LABELS3 = "CASE WHEN toxic = 1 THEN 'contradiction' WHEN quality = 1 THEN 'entailment' ELSE 'neutral' END"
@@ -385,6 +386,14 @@ def reader_window_cover(spark, sf_dir):
     return whole.select(F.col("id").alias("doc_id"), F.when(F.col("first") == 0, F.least("n", "last")).otherwise(F.lit(0)).alias("n_chars"), F.col("n").isNotNull().alias("some")).fillna({"n_chars": 0})
 
 
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'too-long' ELSE 'blank' END AS reason FROM conversations WHERE turn % 4 < 3""")
+def rejected_queries(spark, sf_dir):
+    r = F.pmod("turn", F.lit(4))
+    said = F.when(r == 0, "  ").when(r == 1, F.repeat(F.lit("ab "), 2000)).when(r == 3, "a question")
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), said.alias("text"))
+    return Engine(views.documents(spark, sf_dir)).rejected(rows).select("query_id.*", "reason")
+
+
 @query("""WITH c AS (SELECT n_regionkey AS r, count(*) AS cases, sum(n_nationkey) AS s FROM nation GROUP BY 1) SELECT r AS subject, cases, round(s / cases, 6) AS mean FROM c""")
 def published_counts(spark, sf_dir):
     """A table of numbers only, passed by the publication filter."""

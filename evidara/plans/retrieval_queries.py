@@ -246,13 +246,48 @@ def default_strategy_search(spark, sf_dir):
     return Engine(views.documents(spark, sf_dir)).search(views.queries(spark, sf_dir), DEFAULT, TOP).select("query_id", "doc_id", "score", "rank")
 
 
-@query()
+@query(f"""WITH {views.BM25}, {views.top("bm25", 5)}, h AS (SELECT query_id, doc_id, text FROM ranked JOIN docs USING (doc_id) WHERE rank = 1 AND score > 0),
+a AS (SELECT query_id, doc_id, regexp_replace(regexp_extract(text, '^[^.!?\\n]+[.!?]?'), '^\\s+|\\s+$', '', 'g') AS said, regexp_extract(text, '^[^.!?\\n]+[.!?]?') <> '' AS told FROM h)
+SELECT item_id AS query_id, CASE WHEN told THEN said || ' [' || doc_id || ']' ELSE 'insufficient evidence' END AS answer, CASE WHEN told THEN doc_id::VARCHAR ELSE '' END AS citations, true AS valid FROM benchmark LEFT JOIN a ON query_id = item_id""")
 def ask_bm25(spark, sf_dir):
     out = Engine(views.documents(spark, sf_dir)).ask(views.queries(spark, sf_dir), "bm25", 5)
     return out.select("query_id", F.col("final").alias("answer"), F.array_join("citations", ",").alias("citations"), "valid")
 
 
-@query()
+# Every strategy with its kind and the services it needs, as the catalogue must give them.
+@query("""SELECT * FROM (VALUES ('bm25', 'list', 'store'),
+ ('bm25-coref-aware-pack-rrf', 'rrf', 'coreference,embedder,store'),
+ ('bm25-coref-interval-pack-rrf', 'rrf', 'coreference,embedder,store'),
+ ('bm25-coref-max-rrf', 'rrf', 'coreference,embedder,store'),
+ ('bm25-coref-nominal-rrf', 'rrf', 'coreference,embedder,store'),
+ ('bm25-coref-propn-rrf', 'rrf', 'coreference,embedder,store'),
+ ('bm25-sentence-pack-rrf', 'rrf', 'embedder,store'),
+ ('bm25-token-window-rrf', 'rrf', 'embedder,store'),
+ ('coref-aware-pack', 'list', 'coreference,embedder,store'),
+ ('coref-interval-pack', 'list', 'coreference,embedder,store'),
+ ('coref-max', 'list', 'coreference,embedder,store'),
+ ('coref-nominal', 'list', 'coreference,embedder,store'),
+ ('coref-propn', 'list', 'coreference,embedder,store'),
+ ('hybrid-rrf', 'rrf', 'coreference,embedder,store'),
+ ('keyword', 'list', 'store'),
+ ('pooled-colbert', 'pool', 'colbert,coreference,embedder,store'),
+ ('pooled-coref-aware-pack-rrf', 'pool', 'coreference,embedder,store'),
+ ('pooled-coref-interval-colbert', 'pool', 'colbert,coreference,embedder,store'),
+ ('pooled-coref-interval-content-max-colbert', 'pool', 'colbert,coreference,embedder,store'),
+ ('pooled-coref-interval-msmarco', 'pool', 'coreference,embedder,msmarco,store'),
+ ('pooled-coref-interval-multiview-colbert', 'pool', 'colbert,coreference,embedder,store'),
+ ('pooled-coref-interval-pack-rrf', 'pool', 'coreference,embedder,store'),
+ ('pooled-coref-interval-rankzephyr', 'pool', 'coreference,embedder,rankzephyr,store'),
+ ('pooled-coref-interval-raw-mean-colbert', 'pool', 'colbert,coreference,embedder,store'),
+ ('pooled-coref-nominal-dp-colbert', 'pool', 'colbert,coreference,embedder,store'),
+ ('pooled-four-channel-robust-sum', 'pool', 'coreference,embedder,store'),
+ ('pooled-four-channel-rrf', 'pool', 'coreference,embedder,store'),
+ ('pooled-msmarco-rrf', 'pool', 'coreference,embedder,msmarco,store'),
+ ('pooled-sentence-pack-rrf', 'pool', 'coreference,embedder,store'),
+ ('rerank-msmarco', 'rerank', 'coreference,embedder,msmarco,store'),
+ ('sentence-pack', 'list', 'embedder,store'),
+ ('title-token-window-rrf', 'rrf', 'embedder,store'),
+ ('token-window', 'list', 'embedder,store')) t(strategy, kind, services)""")
 def capabilities(spark, sf_dir):
     """Strategies and the services that they need."""
     rows = [(n, s.kind, ",".join(sorted(dependencies(s)))) for n, s in sorted(CATALOGUE.items())]
