@@ -98,15 +98,24 @@ def binary_separation(df: DataFrame, *by: str) -> DataFrame:
     """ROC-AUC by mid-ranks, average precision by (score descending, position), and prevalence.
 
     ``df`` is (positive boolean, score, position) and the columns ``by``.  AUC is
-    null without both classes, average precision without positives.
+    null without both classes, average precision without positives.  Rows are
+    first summed by score, and only those sums are ranked; within a score each row's place comes from its position.
     """
-    ranked = df.withColumn("mid", mid_rank("score", *by))
-    order = W.partitionBy(*by).orderBy(F.desc("score"), "position")
-    ranked = ranked.withColumn("at", F.row_number().over(order)).withColumn("hits", F.sum(F.col("positive").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    hit = F.col("positive").cast("int")
+    ties = df.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("tied"), F.sum(hit).alias("tied_hits"))
+    above = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
+    placed = ties.select(*by, "score", "tied", "tied_hits", F.coalesce(F.sum("tied").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum("tied_hits").over(above), F.lit(0)).alias("hits_before"))
+    within = W.partitionBy(*by, "score").orderBy("position")
+    inner = df.select(*by, "score", "positive", F.row_number().over(within).alias("i"), F.sum(hit).over(within.rowsBetween(W.unboundedPreceding, 0)).alias("h"))
+    same = F.lit(True)
+    for c in (*by, "score"):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    ranked = inner.alias("r").join(placed.alias("t"), same).select(*[f"r.{c}" for c in by], "positive", "before", "tied", (F.col("before") + F.col("i")).alias("at"), (F.col("hits_before") + F.col("h")).alias("hits"))
+    # The mid-rank from below is n - before - (tied - 1) / 2.
     sums = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("positives"), F.sum(F.when(F.col("positive"), F.col("mid"))).alias("ranks"),
+        F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("positives"), F.sum(F.when(F.col("positive"), F.col("before") + (F.col("tied") - 1) / 2.0)).alias("from_top"),
         F.sum(F.when(F.col("positive"), F.col("hits") / F.col("at"))).alias("precisions"),
-    )
+    ).withColumn("ranks", F.col("positives") * F.col("n") - F.col("from_top"))
     p, n = F.col("positives"), F.col("n")
     auc = F.try_divide(F.col("ranks") - p * (p + 1) / 2.0, (p * (n - p)).cast("double"))
     return sums.select(*by, "n", "positives", round_to(auc).alias("roc_auc"), round_to(F.try_divide(F.col("precisions"), p.cast("double"))).alias("average_precision"), round_to(F.try_divide(p.cast("double"), n)).alias("prevalence"))
