@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.plans import analysis_queries, record_queries, retrieval_queries, storage_queries  # noqa: F401  (they register)
+from evidara.plans import analysis_queries, record_queries, retrieval_queries, source_queries, storage_queries  # noqa: F401  (they register)
 from evidara.plans.views import REGISTERED, plain
 
 
