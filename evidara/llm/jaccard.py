@@ -288,16 +288,19 @@ def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Checkpointed ``pairs`` with what ``left`` has of their end a and ``right`` of b; an end of many pairs in several parts.
 
     Such an end's row is repeated for every ``HUB_PAIRS`` of its pairs and the
-    pairs are dealt over the repeats, so no task meets a whole hub.
+    pairs are dealt over the repeats, so no task meets a whole hub.  Few pairs are broadcast to the first side.
     """
-    out = pairs
-    for side, other, nodes in (("a", "b", left), ("b", "a", right)):
+
+    def split(out: DataFrame, side: str, other: str, nodes: DataFrame) -> DataFrame:
         degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("d")).filter(f"d > {HUB_PAIRS}")
         hubs = small(checkpointed(degree.select(side, F.ceil(F.col("d") / HUB_PAIRS).cast("int").alias("parts"))), MOST_BROADCAST_IDS)
         dealt = out.join(hubs, side, "left").withColumn("deal", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         spread = nodes.join(hubs, side, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        out = dealt.join(spread, [side, "deal"]).drop("deal")
-    return out
+        return dealt.join(spread, [side, "deal"]).drop("deal")
+
+    few = pairs.count() <= MOST_BROADCAST_IDS
+    out = left.join(F.broadcast(pairs), "a") if few else split(pairs, "a", "b", left)
+    return split(out, "b", "a", right)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
@@ -317,10 +320,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
     return _joined(pairs, left, right).select(*names, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(kept))
 
 
-def _texts(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of every end of ``pairs``, one row each: the text of the set's first document."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    picked = checkpointed(groups.select("node", "first", "times").join(ends, "node", "left_semi").select("node", "first.*", "times"))
+def _texts(docs: DataFrame, groups: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, text) of the nodes ``ends``, one row each: the text of the set's first document."""
+    picked = checkpointed(groups.select("node", "first", "times").join(ends.distinct(), "node", "left_semi").select("node", "first.*", "times"))
     picked = picked.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", *TEXT_KEYS)}).drop("_null", "null")
     same = F.lit(True)
     for c in (*TEXT_KEYS, "doc_id"):
@@ -335,7 +337,7 @@ def _texts(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int, overlap: Overlap) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold."""
     pairs = pairs.select("a", "b")
-    texts = _texts(docs, groups, pairs)
+    ends = {c: _texts(docs, groups, pairs.select(F.col(c).alias("node"))) for c in ("a", "b")}
 
     def check(batches):
         hashes, sets = _WordHashes(), {}
@@ -357,7 +359,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int,
                     keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap.needed(len(x), len(y)))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = _joined(pairs, texts.toDF("a", "ta"), texts.toDF("b", "tb"))
+    whole = _joined(pairs, ends["a"].toDF("a", "ta"), ends["b"].toDF("b", "tb"))
     return whole.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
@@ -383,6 +385,27 @@ def _open_pairs(left: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def _numbers(docs: DataFrame):
+    """A number for each row, unique once written; those of smaller doc_ids are mostly smaller.
+
+    Lists are tied to their least member.  The earliest of near copies is the
+    likeliest to be like all others, so fewer pairs stay open; which one it is
+    changes only the work.
+    """
+    made = F.monotonically_increasing_id()
+    part, row = F.shiftright(made, 33), made.bitwiseAND(F.lit((1 << 33) - 1))
+    number = F.shiftleft(part, 30).bitwiseOR(row)
+    fits = (part < 1 << 20) & (row < 1 << 30)
+    number = F.when(fits, number).otherwise(F.raise_error(F.lit("more than 2^20 partitions, or 2^30 rows in one")).cast("long"))
+    if dict(docs.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        return number
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return number
+    place = F.floor((F.col("doc_id").cast("double") - float(low)) / (float(high) - float(low) + 1.0) * 8000.0).cast("long")
+    return F.shiftleft(F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(7999)), F.lit(8000)), 50).bitwiseOR(number)
+
+
 def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundary: int | None, tie_ids: bool) -> tuple[DataFrame, DataFrame]:
     """The documents' rows with their sets (doc_id, text keys, n, s1, s2), and the sets in components.
 
@@ -394,7 +417,7 @@ def _components(docs: DataFrame, width: int, threshold: tuple[int, int], boundar
     frequent, levels, sizes = _statistics(docs, width)
     if boundary is None:
         boundary = choose_boundary(sizes, overlap)
-    rows = checkpointed(_signatures(docs, width, overlap, boundary, frequent, levels).withColumn("rid", F.monotonically_increasing_id()))
+    rows = checkpointed(_signatures(docs, width, overlap, boundary, frequent, levels).withColumn("rid", _numbers(docs)))
     alike = rows.filter("n > 0").groupBy("s1", "s2", "doc_id", *TEXT_KEYS).agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("times"))
     this = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *TEXT_KEYS)
     groups = checkpointed(alike.groupBy("s1", "s2").agg(F.min(F.struct(this.alias("first"), "times")).alias("f"), F.min("rid").alias("node"), F.sum("times").alias("copies")).select("s1", "s2", "node", "copies", "f.first", "f.times"))
