@@ -9,10 +9,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidara.llm import components, decontaminate, fingerprints, html, jaccard, language, licences, lm, pieces, sharding, urls
-from evidara.llm.runtime import crc_residue
+from evidara.llm.runtime import crc_residue, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, n_words string, key string, ids string"
 
@@ -623,3 +624,19 @@ def test_licences_of_many_kinds(spark):
     assert told["accuracy"] > 0.9 and told["units"] > 500
     lines = licences.sample_lines(df, 5)
     assert len(lines) == 5 and lines == licences.sample_lines(df.repartition(3), 5)
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_lm_tokens_of_later_slices(kind):
+    r = np.random.Generator(np.random.PCG64(8))
+    pool = ["Ärger", "straße", "ONE", "two", "x\u00a0y", "\t", "\n ", "é\x1cb"]
+    texts = [None if i < 1000 and i % 17 == 0 else " ".join(r.choice(pool, int(r.integers(0, 60)))) for i in range(3000)]
+    table, seen = lm.WordTable(lm.WordClasses([[b"one", b"two"]])), 0
+    for part in slices(pa.array(texts, kind), most=5000, rows=200):
+        ids, starts = table.numbers(part)
+        names = {n: w for w, n in table.items()}
+        want = [[*lm.tokens_of(t), lm.END] for t in part.to_pylist()]
+        assert [names[i] for i in ids.tolist()] == [w for t in want for w in t]
+        assert starts.tolist() == [0, *np.cumsum([len(t) for t in want])[:-1].tolist()]
+        seen += len(part)
+    assert seen == len(texts)
