@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of ``queries`` that SQL can express.
 
 The other queries (sampling, components, classifiers, minimax cuts, gradient
-training, fingerprints, CRF) are held against brute force in the tests.
+training, fingerprints, CRF, tokenizers) are held against brute force in the tests.
 """
 
 from __future__ import annotations
@@ -33,6 +33,36 @@ j AS (SELECT *, CASE WHEN dotted LIKE '%.example.net' AND path LIKE '/en/%' THEN
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN junk THEN 'block' ELSE 'allow' END AS verdict FROM j
 """
 
+# crc32 bit by bit, for the ids that say how many turns a conversation takes over.
+_CRC = """xor(list_reduce(list_transform(range(0, length({0}) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE ord({0}[i])::BIGINT END),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS own, {_CRC.format("(conv_id::VARCHAR)")} % 6 AS h FROM t GROUP BY 1),
+f AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS w FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, w, unnest(generate_series(0, len(w))) AS depth FROM f),
+k AS (SELECT conv_id, depth, depth = len(w) AS stops, w[1:depth] AS key, w[1:depth - 1] AS up, coalesce(length(w[depth].x), 0) AS chars FROM p),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(chars) AS chars, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops) AS ends FROM k GROUP BY 1, 2),
+ch AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (depth, key)),
+below AS (SELECT key, n_convs, n_children, chars, unnest(generate_series(0, depth)) AS d FROM m),
+s AS (SELECT d AS depth, key[1:d] AS key, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM below GROUP BY 1, 2)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN s USING (depth, key) LEFT JOIN n u ON u.depth = m.depth - 1 AND u.key = m.up
+"""
+
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, x, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') AS w, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(w)::BIGINT AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, x, n, form, array_to_string(w[1:a], '') AS head, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS tail FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": DECONTAMINATION, "op5_url_filters": URLS}
+    return {"op3_benchmark_decontamination": DECONTAMINATION, "op5_url_filters": URLS, "op11_conversation_trie": TRIE, "op12_fill_in_middle": FILL_IN_MIDDLE}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidara.llm import decontaminate, fingerprints, html, jaccard, language, licences, lm, pieces, sharding, urls
+from evidara.llm import decontaminate, fim, fingerprints, html, jaccard, language, licences, lm, pieces, sharding, token_counts, trie, urls
 from evidara.llm.runtime import table
 
 
@@ -50,5 +52,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.forked_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fim.restored(F.col("output"), F.col("form"))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": again}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c.cast("binary"), 256).alias(name) for name, c in digests.items()])
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.TOKENIZER), token_counts.new_cache(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_licence_scans, op5_url_filters, op6_language_id, op7_sharding, op8_lm_scoring, op9_document_fingerprints, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_licence_scans, op5_url_filters, op6_language_id, op7_sharding, op8_lm_scoring, op9_document_fingerprints, op10_html_extraction, op11_conversation_trie, op12_fill_in_middle, op13_token_counts)}

@@ -128,3 +128,21 @@ def slices(column: pa.Array, most: int = 1_000_000, rows: int = 2000):
         to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "left")) + 1), len(column))
         yield column.slice(at, to - at)
         at = to
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Over how many partitions a shuffle deals rows: the number of salts that spreads one key over all of them."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``left`` joined with the columns of ``right``, which has one row a key, however many rows of ``left`` have one key.
+
+    Rows of ``left`` are dealt by key and by a hash of column ``by``; a row of
+    ``right`` is copied only to the hashes that its key has, so there are never
+    more copies than rows of ``left``.  Rows without a partner go (inner join).
+    """
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(shuffle_width(left.sparkSession))))
+    met = salted.select(*keys, "__salt").distinct().groupBy(*keys).agg(F.collect_set("__salt").alias("__salts"))
+    dealt = met.join(right, keys).withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return salted.join(dealt, [*keys, "__salt"]).drop("__salt")
