@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,26 @@ class ContractError(ValueError):
     """A relation breaks the contract of an operator."""
 
 
+_OWN_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; one of this machine only where one process is all there is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ContractError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {spark.sparkContext.master})")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="evidara-"))
+    return _OWN_FOLDER[0]
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in ``spark.checkpoint.dir``; a folder of this machine only where one process is all there is."""
+    """A reliable checkpoint of ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
-            raise ContractError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {context.master})")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidara-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from evidara.operators import journal, propositions
 from evidara.plans import views
-from evidara.plans.views import query, table
+from evidara.plans.views import query, scratch, table
 from evidara.sources import readers, sinks
 from evidara.streaming import windows
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (of this machine only where that is unset, in tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='evidara-')}/evidara-{uuid4().hex}"
-
-
 @query(f"""WITH {views.DOCS} SELECT doc_id::VARCHAR AS doc_id, title, sha256(text) AS digest FROM docs""")
 def corpus_scan(spark, sf_dir):
     """Documents written as JSON lines and scanned again; a missing title is empty."""

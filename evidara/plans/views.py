@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions.text import WORD, body_of, title_of
-from evidara.operators.checks import broadcast_if_small
+from evidara.operators.checks import broadcast_if_small, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, tuple[Query, str | None]] = {}
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/evidara-{uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", title_of(text).alias("title"), body_of(text).alias("text"))
