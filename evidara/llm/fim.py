@@ -19,25 +19,26 @@ from evidara.llm.runtime import runs
 
 #: Tokens: runs of ASCII letters, and every other character.
 TOKEN_PATTERN = "[A-Za-z]+|[^A-Za-z]"
-#: Characters that are always tokens of their own: a text may be taken apart behind one.
-SINGLE = re.compile("[^A-Za-z]")
+#: Isolating the characters that are tokens of their own leaves the runs between them as the other tokens.
+SINGLE_PATTERN = "[^A-Za-z]"
+#: A text may be taken apart behind such a character.
+SINGLE = re.compile(SINGLE_PATTERN)
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 texts, how many are cut, and how many of those have their suffix first.
 CUT_RATE, SUFFIX_FIRST_RATE = 90, 20
 #: Characters that go to the pre-tokenizer at once.
-PIECE_CHARS = 1 << 18
+PIECE_CHARS = 1 << 10
 
 
 def token_starts(text: str, split, piece: int = PIECE_CHARS) -> np.ndarray:
-    """Code-point offsets of a text's tokens; long texts go to the pre-tokenizer in pieces that end behind a single."""
+    """Code-point offsets of a text's tokens; it goes to the pre-tokenizer in pieces that end behind a single."""
     out, at = [], 0
     while at < len(text):
         end = len(text)
         if end - at > piece:
             found = SINGLE.search(text, at + piece)
             end = found.end() if found else end
-        offsets = split.pre_tokenize_str(text[at:end])
-        out.append(np.fromiter((x[1][0] for x in offsets), np.int64, len(offsets)) + at)
+        out.append(np.array([offsets[0] for _, offsets in split.pre_tokenize_str(text[at:end])], np.int64) + at)
         at = end
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
@@ -62,7 +63,7 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", seed: int = 1) -> DataF
         from tokenizers import Regex
         from tokenizers.pre_tokenizers import Split
 
-        split = Split(Regex(TOKEN_PATTERN), behavior="isolated")
+        split = Split(Regex(SINGLE_PATTERN), behavior="isolated")
         for batch in batches:
             at = 0
             for texts in runs(batch.column(5)):
