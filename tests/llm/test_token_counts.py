@@ -2,6 +2,7 @@
 
 import shutil
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,14 @@ def test_normalised_contents_share_a_count(spark, tmp_path):
     got = token_counts.count_tokens(frame(spark, [(1, "Some Words"), (2, "some words")]), path, str(tmp_path), normalise=F.lower).collect()
     assert len({r.n_tokens for r in got}) == 1
     assert spark.read.parquet(f"{tmp_path}/version={token_counts.tokenizer_version(path)}").count() == 1
+
+
+def test_counting_by_parts_equals_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.parts_at_spaces(path)
+    assert not token_counts.parts_at_spaces(public_tokenizers.path("word_bpe_49k.json"))
+    r = np.random.Generator(np.random.PCG64(3))
+    signs = list("ab'stre12.,;  \n\n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000é漢😀") + ["<|endoftext|>", "<|endof", "text|>", "'re", " '", "\u200b"]
+    texts = ["".join(r.choice(signs, int(r.integers(0, 40)))) for _ in range(3000)]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL").collect()]
+    assert token_counts.counter(path)(texts) == list(map(brute("byte_bpe_50k.json"), texts))
