@@ -8,6 +8,7 @@ from evidara.functions.numeric import finite, round_to
 from evidara.operators import chunking, dense, fusion, lexical, metrics
 from evidara.plans import views
 from evidara.operators.index import LexicalIndex
+from evidara.operators.vector_index import VectorIndex
 from evidara.plans.engine import Engine
 from evidara.plans.strategies import CATALOGUE, DEFAULT, dependencies
 from evidara.plans.views import BM25, DOCS, KEYWORD, POOL, QRELS, SIMS, TOP, WORDS, query, scratch, top
@@ -58,6 +59,14 @@ def vector_topk(spark, sf_dir):
     return dense.vector_search(views.vector_queries(spark, sf_dir), views.chunks(spark, sf_dir), TOP).select("query_id", "doc_id", "score", "rank")
 
 
+@query(f"WITH {SIMS}, docs AS (SELECT query_id, doc_id, max(score) AS score FROM sims GROUP BY 1, 2), {top('docs')} SELECT query_id, doc_id, score, rank FROM ranked")
+def vector_pruned_topk(spark, sf_dir):
+    """The nearest documents from a stored index, of which only cells that may hold one are read."""
+    stored = VectorIndex(spark, scratch(spark))
+    stored.build(views.chunks(spark, sf_dir))
+    return stored.search(views.vector_queries(spark, sf_dir), TOP).select("query_id", "doc_id", "score", "rank")
+
+
 @query(f"WITH {SIMS} SELECT query_id, doc_id, representation, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, representation, ordinal) AS r FROM sims) WHERE r = 1")
 def vector_best_chunk(spark, sf_dir):
     return dense.best_chunks(views.vector_queries(spark, sf_dir), views.chunks(spark, sf_dir))
