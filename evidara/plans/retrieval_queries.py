@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions.numeric import finite, round_to
-from evidara.operators import chunking, dense, fusion, lexical, metrics
+from evidara.operators import chunking, dense, fusion, late_interaction, lexical, metrics
+from evidara.operators.checks import kept
 from evidara.plans import views
 from evidara.operators.index import LexicalIndex
 from evidara.operators.vector_index import VectorIndex
@@ -72,6 +73,40 @@ def vector_best_chunk(spark, sf_dir):
     return dense.best_chunks(views.vector_queries(spark, sf_dir), views.chunks(spark, sf_dir))
 
 
+# The stand-in model of token vectors: 32 bytes of hash of each character trigram, summed and set to length 1.
+_WORD_VECTORS = """grams AS (SELECT word, sha256(substr('^' || word || '$', i, 3)) AS h FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+bytes AS (SELECT word, d, sum(('0x' || substr(h, 2 * d + 1, 2))::INT - 127.5) AS v FROM grams, range(0, 32) t(d) GROUP BY 1, 2),
+vectors AS (SELECT word, list(v / n ORDER BY d)::DOUBLE[32] AS v FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY word)) AS n FROM bytes) GROUP BY 1)"""
+
+
+def _maxsim(whole: str) -> str:
+    return f"""WITH {BM25}, {KEYWORD}, {top('keyword')}, pool AS (SELECT query_id, doc_id FROM ranked WHERE score > 0),
+views AS (SELECT doc_id, {WORDS.format(whole)} AS w FROM docs WHERE doc_id IN (SELECT doc_id FROM pool)),
+dw AS (SELECT DISTINCT doc_id, unnest(w) AS word FROM views), words AS (SELECT word FROM dw UNION SELECT term FROM terms), {_WORD_VECTORS},
+best AS (SELECT p.query_id, p.doc_id, term, max(array_inner_product(a.v, b.v)) AS s FROM pool p JOIN terms USING (query_id) JOIN dw USING (doc_id) JOIN vectors a ON a.word = term JOIN vectors b ON b.word = dw.word GROUP BY 1, 2, 3)
+SELECT query_id, doc_id, round(sum(s), 6) AS score FROM best GROUP BY 1, 2"""
+
+
+@query(_maxsim("title || chr(10) || text"))
+def maxsim_rescore(spark, sf_dir):
+    """Late interaction of every item with the documents that a keyword search gives it; each document's words become vectors once."""
+    docs, asked = views.documents(spark, sf_dir), views.queries(spark, sf_dir)
+    pool = lexical.keyword_search(asked, docs, TOP)
+    whole = docs.select("doc_id", F.lit(0).alias("ordinal"), F.concat_ws("\n", "title", "text").alias("text"))
+    return late_interaction.late_interaction_scores(asked, whole, pool).select("query_id", "doc_id", "score")
+
+
+@query(_maxsim("text"))
+def maxsim_stored_rescore(spark, sf_dir):
+    """The same over the bodies, from a stored relation of token vectors."""
+    docs, asked = views.documents(spark, sf_dir), views.queries(spark, sf_dir)
+    pool = kept(lexical.keyword_search(asked, docs, TOP).select("query_id", "doc_id"))
+    path = scratch(spark)
+    body = docs.select("doc_id", F.lit(0).alias("ordinal"), "text").join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    late_interaction.token_blocks(body).write.parquet(path)
+    return late_interaction.stored_scores(asked, spark.read.parquet(path), pool).select("query_id", "doc_id", "score")
+
+
 _POOL = f"WITH {SIMS}, docs AS (SELECT query_id, doc_id, max(score) AS score FROM sims GROUP BY 1, 2), {top('docs', POOL)}"
 
 
