@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.functions.numeric import round_to
 from evidara.functions.text import plain_normalised
+from evidara.operators.ranks import placed, with_medians
 
 
 def _rate(condition: Column, within: Column | None = None) -> Column:
@@ -26,14 +26,15 @@ def generation_report(results: DataFrame) -> DataFrame:
     generated_tokens, generator_ms.
     """
     ok = F.col("error_type").isNull()
-    median = lambda c: round_to(F.median(F.col(c).cast("double")), 4)
-    return results.groupBy("policy").agg(
+    sums = results.groupBy("policy").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
         _rate(F.col("relevant_retrieved")).alias("relevant_rate"), round_to(F.avg("evidence_recall")).alias("evidence_recall"), _rate(F.col("citation_valid")).alias("citation_valid_rate"),
         _rate(F.col("answer") == "insufficient evidence", ok).alias("insufficient_rate"), F.count(F.when(ok, F.col("stance_correct"))).alias("stance_scored"),
-        _rate(F.col("stance_correct"), ok).alias("stance_accuracy"), median("contexts").alias("median_contexts"), median("input_tokens").alias("median_input_tokens"),
-        median("generated_tokens").alias("median_generated_tokens"), median("generator_ms").alias("median_generator_ms"),
+        _rate(F.col("stance_correct"), ok).alias("stance_accuracy"),
     )
+    numbers = ["contexts", "input_tokens", "generated_tokens", "generator_ms"]
+    found = with_medians(sums, results, numbers, "policy")
+    return found.select(*sums.columns, *[round_to(F.col(c), 4).alias(f"median_{c}") for c in numbers])
 
 
 def evidence_sentence_recall(sentences: DataFrame, contexts: DataFrame, normalise=plain_normalised) -> DataFrame:
@@ -89,8 +90,7 @@ def article_summary(rows: DataFrame, arms: list[str]) -> DataFrame:
     The ordinal comes from ranked distinct ids, not from the rows, so no task sees more than the articles.
     """
     sums = rows.groupBy("article_id").agg(F.count(F.lit(1)).alias("prompts"), *[F.count_if(a).alias(f"{a}_correct") for a in arms], round_to(F.avg("recall")).alias("mean_recall"))
-
-    return sums.withColumn("article_ordinal", F.row_number().over(W.orderBy("article_id"))).drop("article_id")
+    return placed(sums, ["article_id"]).withColumn("article_ordinal", F.col("place") + 1).drop("article_id", "place", "placed_of")
 
 
 def evaluation_set_summary(cases: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidara.operators.ranks import placed
+
 
 def hash_sample(df: DataFrame, identifier: str, prefix: str, n: int = 64) -> DataFrame:
     """The n distinct ids of lowest sha256('prefix:id'), with that digest."""
@@ -22,9 +23,7 @@ def band(position: Column, n: Column, bands: int = 5) -> Column:
 
 def banded(df: DataFrame, value: str, identifier: str, *by: str, bands: int = 5) -> DataFrame:
     """Adds the band of each row in the order (value, identifier) of its group."""
-    own = W.partitionBy(*by)
-    place = F.row_number().over(own.orderBy(value, identifier)) - 1
-    return df.withColumn("band", band(place, F.count(F.lit(1)).over(own), bands))
+    return placed(df, [value, identifier], *by).withColumn("band", band(F.col("place"), F.col("placed_of"), bands)).drop("place", "placed_of")
 
 
 def stratified_audit(df: DataFrame, per_band: int = 5) -> DataFrame:
@@ -36,8 +35,7 @@ def stratified_audit(df: DataFrame, per_band: int = 5) -> DataFrame:
     stratum = F.concat_ws("-to-", "gold", "predicted").alias("stratum")
     decisive = df.filter("gold <> 'neutral' AND gold <> predicted").select("candidate_id", stratum, F.lit(0).alias("band"))
     neutral = banded(df.filter("gold = 'neutral' AND predicted <> 'neutral'"), "margin", "candidate_id", "predicted")
-    first = F.row_number().over(W.partitionBy("predicted", "band").orderBy("candidate_id"))
-    picked = neutral.withColumn("at", first).filter(F.col("at") <= per_band).select("candidate_id", stratum, "band")
+    picked = placed(neutral, ["candidate_id"], "predicted", "band").filter(F.col("place") < per_band).select("candidate_id", stratum, "band")
     return decisive.unionByName(picked)
 
 
@@ -55,13 +53,14 @@ def hashed_order(df: DataFrame, identifier: str, seed: int) -> DataFrame:
 
 def rotating_arms(df: DataFrame, identifier: str, arms: list[str]) -> DataFrame:
     """Each row's order of arms, rotated by its 0-based position."""
-    at = F.pmod(F.row_number().over(W.orderBy(identifier)) - 1, F.lit(len(arms)))
+    at = F.pmod("place", F.lit(len(arms))).cast("int")
     every = F.array(*[F.lit(a) for a in arms])
     turned = F.concat(F.slice(every, at + 1, F.lit(len(arms))), F.slice(every, F.lit(1), at))
-    return df.select(identifier, turned.alias("arms"))
+    return placed(df.select(identifier), [identifier]).select(identifier, turned.alias("arms"))
 
 
 def preflight(df: DataFrame, size: str, identifier: str) -> DataFrame:
     """The rows of least, lower-median and largest size, by (size, id)."""
-    ordered = df.select(identifier, size).withColumn("at", F.row_number().over(W.orderBy(size, identifier))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
-    return ordered.filter("at = 1 OR at = (n - 1) div 2 + 1 OR at = n").select(identifier, size, "at")
+    ordered = placed(df.select(identifier, size), [size, identifier])
+    picked = (F.col("place") == 0) | (F.col("place") == F.floor((F.col("placed_of") - 1) / 2)) | (F.col("place") == F.col("placed_of") - 1)
+    return ordered.filter(picked).select(identifier, size, (F.col("place") + 1).alias("at"))

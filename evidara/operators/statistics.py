@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.functions.numeric import round_to
+from evidara.operators.ranks import placed, with_medians
 
 LABELS = ("entailment", "neutral", "contradiction")
 
@@ -58,9 +59,9 @@ def label_prior(df: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
 def distribution(df: DataFrame, column: str, *by: str) -> DataFrame:
     """count, min, median, mean and max of a column; nulls do not count, an empty group has null statistics."""
     x = F.col(column).cast("double")
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), round_to(F.min(x)).alias("minimum"), round_to(F.median(x)).alias("median"), round_to(F.avg(x)).alias("mean"), round_to(F.max(x)).alias("maximum")
-    )
+    sums = df.groupBy(*by).agg(F.count(x).alias("n"), round_to(F.min(x)).alias("minimum"), round_to(F.avg(x)).alias("mean"), round_to(F.max(x)).alias("maximum"))
+    found = with_medians(sums, df.select(*by, x.alias("median")), ["median"], *by)
+    return found.select(*by, "n", "minimum", round_to(F.col("median")).alias("median"), "mean", "maximum")
 
 
 def grouped_distributions(df: DataFrame, dimensions: list[str], features: list[str]) -> DataFrame:
@@ -155,27 +156,66 @@ def coverage_gate(counts: DataFrame, limits: dict[str, float]) -> DataFrame:
     return counts.select("*", failed.alias("failed_conditions")).withColumn("passed", F.size("failed_conditions") == 0)
 
 
+#: Clusters whose sums are one row, and the parts into which the replicates are dealt.
+BLOCK_CLUSTERS, REPLICATE_PARTS = 1 << 14, 8
+#: Draws that a task holds at once.
+DRAWN_AT_ONCE = 1 << 18
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, arms: tuple[str, str], replicates: int = 2000, seed: int = 1729) -> DataFrame:
     """Percentile interval of the difference in accuracy of two arms, resampling whole clusters.
 
-    ``df`` has boolean columns named by the arms.  Sums per cluster are taken
-    first; the draws come from PCG64(seed) on the driver (replicates times
-    clusters small integers), so that they equal those of a local run.
+    ``df`` has boolean columns named by the arms.  Each replicate draws as many
+    clusters as there are, in the order of their names, from PCG64(seed), so
+    that it equals a local run.  Blocks of cluster sums meet parts of the
+    replicates in tasks of their own; a task replays the stream up to its part
+    and adds up the draws that fall into its block.  Nothing but the sums of a
+    replicate, of which there are few, comes together.
     """
-    import numpy as np
+    sums = cluster_sums(df, cluster, arms)
+    rows = placed(sums, [cluster])
+    block = F.floor(F.col("place") / BLOCK_CLUSTERS).alias("block")
+    listed = F.sort_array(F.collect_list(F.struct("place", "n", "d"))).alias("own")
+    blocks = rows.groupBy(block, "placed_of").agg(listed)
+    parts = blocks.select("placed_of", "own", F.explode(F.sequence(F.lit(0), F.lit(REPLICATE_PARTS - 1))).alias("part"))
+
+    def drawn(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                clusters, part = row["placed_of"], row["part"]
+                first = row["own"][0]["place"]
+                n, d = (np.array([x[c] for x in row["own"]], np.int64) for c in "nd")
+                begin, end = part * replicates // REPLICATE_PARTS, (part + 1) * replicates // REPLICATE_PARTS
+                rng = np.random.Generator(np.random.PCG64(seed))
+                out = []
+                for replicate in range(end):
+                    total, gain, left = 0, 0, clusters
+                    while left:
+                        own = rng.integers(0, clusters, size=min(left, DRAWN_AT_ONCE))
+                        left -= len(own)
+                        if replicate >= begin:
+                            own = own[(own >= first) & (own < first + len(n))] - first
+                            total, gain = total + int(n[own].sum()), gain + int(d[own].sum())
+                    if replicate >= begin:
+                        out.append((replicate, total, gain))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], ["replicate", "n", "d"])
+
+    each = parts.repartition(REPLICATE_PARTS, "part").mapInArrow(drawn, "replicate long, n long, d long").groupBy("replicate").agg((F.sum("d") / F.sum("n")).alias("delta"))
+    interval = each.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return point_difference(sums).crossJoin(interval).select(  # a row each
+        "clusters", F.lit(replicates).alias("replicates"), "delta", round_to(F.col("q")[0]).alias("low"), round_to(F.col("q")[1]).alias("high")
+    )
 
+
+def cluster_sums(df: DataFrame, cluster: str, arms: tuple[str, str]) -> DataFrame:
+    """Rows of each cluster and by how many the first arm is right more often."""
     a, b = arms
-    sums = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(a).cast("int") - F.col(b).cast("int")).alias("d")).orderBy(cluster)
-    rows = [(r["n"], r["d"]) for r in sums.collect()]  # one row a cluster
-    schema = "clusters int, replicates int, delta double, low double, high double"
-    if not rows:
-        return df.sparkSession.createDataFrame([(0, replicates, None, None, None)], schema)
-    n, d = np.array(rows, float).T
-    rng = np.random.Generator(np.random.PCG64(seed))
-    deltas = []
-    for _ in range(replicates):
-        drawn = rng.integers(0, len(rows), size=len(rows))
-        deltas.append(d[drawn].sum() / n[drawn].sum())
-    low, high = np.quantile(deltas, [0.025, 0.975])
-    out = (len(rows), replicates, round(float(d.sum() / n.sum()), 6), round(float(low), 6), round(float(high), 6))
-    return df.sparkSession.createDataFrame([out], schema)
+    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(a).cast("int") - F.col(b).cast("int")).alias("d"))
+
+
+def point_difference(sums: DataFrame) -> DataFrame:
+    """One row: clusters and the difference in accuracy over all rows; null without rows."""
+    return sums.agg(F.count(F.lit(1)).cast("int").alias("clusters"), round_to(F.try_divide(F.sum("d").cast("double"), F.sum("n"))).alias("delta"))

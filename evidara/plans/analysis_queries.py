@@ -97,10 +97,19 @@ def coverage_gate(spark, sf_dir):
     return gate.select(F.array_join("failed_conditions", ",").alias("failed_conditions"), "passed")
 
 
+def _arm_rows(spark, sf_dir):
+    return _labelled(spark, sf_dir).select(F.pmod("doc_id", F.lit(40)).alias("article"), (F.col("quality") == 1).alias("selected"), (F.col("toxic") == 0).alias("full"))
+
+
 @query()
 def cluster_bootstrap(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).select(F.pmod("doc_id", F.lit(40)).alias("article"), (F.col("quality") == 1).alias("selected"), (F.col("toxic") == 0).alias("full"))
-    return statistics.cluster_bootstrap(rows, "article", ("selected", "full"))
+    """The draws are those of a generator that SQL does not have; a test replays them, and bootstrap_point has the estimate."""
+    return statistics.cluster_bootstrap(_arm_rows(spark, sf_dir), "article", ("selected", "full"))
+
+
+@query(f"""WITH {_LABELLED}, c AS (SELECT doc_id % 40 AS article, count(*) AS n, sum((quality = 1)::INT - (toxic = 0)::INT) AS d FROM lab GROUP BY 1) SELECT count(*) AS clusters, round(sum(d) / sum(n), 6) AS delta FROM c""")
+def bootstrap_point(spark, sf_dir):
+    return statistics.point_difference(statistics.cluster_sums(_arm_rows(spark, sf_dir), "article", ("selected", "full")))
 
 
 @query(f"""WITH {_LABELLED}, n AS (SELECT doc_id AS candidate_id, gold, predicted, score AS margin FROM lab), d AS (SELECT candidate_id, gold || '-to-' || predicted AS stratum, 0 AS band FROM n WHERE gold <> 'neutral' AND gold <> predicted),

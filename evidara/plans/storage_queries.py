@@ -103,16 +103,16 @@ def citation_gate(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT event_type AS policy, CASE WHEN user_id % 10 = 0 THEN 'timeout' END AS error_type, value > 50 AS relevant, CASE WHEN user_id % 3 > 0 THEN (event_id % 11) / 10.0 END AS recall, CASE WHEN user_id % 4 > 0 THEN event_id % 2 = 0 END AS cit,
- CASE WHEN event_id % 9 = 0 THEN 'insufficient evidence' ELSE 'x' END AS answer, CASE WHEN user_id % 5 > 0 THEN event_id % 3 = 0 END AS stance, event_id % 50 AS tokens FROM events)
+ CASE WHEN event_id % 9 = 0 THEN 'insufficient evidence' ELSE 'x' END AS answer, CASE WHEN user_id % 5 > 0 THEN event_id % 3 = 0 END AS stance, event_id % 50 AS tokens, user_id % 7 AS contexts, event_id % 13 AS made, value AS ms FROM events)
 SELECT policy, count(*) AS n_rows, count(*) FILTER (error_type IS NULL) AS successful, count(*) FILTER (error_type IS NOT NULL) AS failed, round(avg(relevant::INT), 6) AS relevant_rate, round(avg(recall), 6) AS evidence_recall, round(avg(cit::INT), 6) AS citation_valid_rate,
- round(avg(CASE WHEN error_type IS NULL THEN (answer = 'insufficient evidence')::INT END), 6) AS insufficient_rate, count(CASE WHEN error_type IS NULL THEN stance END) AS stance_scored, round(avg(CASE WHEN error_type IS NULL THEN stance::INT END), 6) AS stance_accuracy, round(median(tokens), 4) AS median_input_tokens FROM g GROUP BY 1""")
+ round(avg(CASE WHEN error_type IS NULL THEN (answer = 'insufficient evidence')::INT END), 6) AS insufficient_rate, count(CASE WHEN error_type IS NULL THEN stance END) AS stance_scored, round(avg(CASE WHEN error_type IS NULL THEN stance::INT END), 6) AS stance_accuracy, round(median(tokens), 4) AS median_input_tokens, round(median(contexts), 4) AS median_contexts, round(median(made), 4) AS median_generated_tokens, round(median(ms), 4) AS median_generator_ms FROM g GROUP BY 1""")
 def generation_report(spark, sf_dir):
     u, e = F.col("user_id"), F.col("event_id")
     rows = views.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("policy"), F.when(u % 10 == 0, "timeout").alias("error_type"), (F.col("value") > 50).alias("relevant_retrieved"), F.when(u % 3 > 0, (e % 11) / 10.0).alias("evidence_recall"), F.when(u % 4 > 0, e % 2 == 0).alias("citation_valid"),
-        F.when(e % 9 == 0, "insufficient evidence").otherwise("x").alias("answer"), F.when(u % 5 > 0, e % 3 == 0).alias("stance_correct"), F.lit(1).alias("contexts"), (e % 50).alias("input_tokens"), F.lit(1).alias("generated_tokens"), F.lit(1.0).alias("generator_ms"),
+        F.when(e % 9 == 0, "insufficient evidence").otherwise("x").alias("answer"), F.when(u % 5 > 0, e % 3 == 0).alias("stance_correct"), (u % 7).alias("contexts"), (e % 50).alias("input_tokens"), (e % 13).alias("generated_tokens"), F.col("value").alias("generator_ms"),
     )
-    return reports.generation_report(rows).drop("median_contexts", "median_generated_tokens", "median_generator_ms")
+    return reports.generation_report(rows)
 
 
 @query("""WITH s AS (SELECT item_id AS query_id, i AS sentence_index, trim(string_split(text, '.')[i]) AS sentence FROM (SELECT item_id, text, unnest(generate_series(1, len(string_split(text, '.')))) AS i FROM benchmark)), g AS (SELECT query_id, sentence_index, lower(trim(regexp_replace(sentence, '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS s FROM s WHERE length(sentence) > 0),
