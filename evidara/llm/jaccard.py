@@ -35,7 +35,7 @@ from evidara.llm.runtime import TEXT_KEYS, checkpointed, mix64, small, to_signed
 #: Frequent shingles whose counts order the rest by rarity, at most: a fixed size, whatever the corpus.
 FREQUENT_SHINGLES = 1 << 20
 #: Shingles that a task counts exactly at a time.
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 2_000_000
 #: Relative cost of one heavy key: it is shuffled, tied and may be verified.
 HEAVY_KEY_COST = 4.0
 #: A light bucket key also names its two sizes, as smaller * PAIR + larger.
