@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions.numeric import round_to
+from evidara.functions.strict_json import json_problem, nested_keys
 from evidara.functions.text import plain_normalised
 from evidara.operators.ranks import placed, with_medians
 
@@ -127,11 +128,15 @@ def telemetry_aggregate(measurements: DataFrame) -> DataFrame:
     )
 
 
-def forbidden_keys(documents: DataFrame, column: str, forbidden: list[str]) -> DataFrame:
-    """Rows whose JSON names a forbidden key at any depth: a quoted key in front of a colon."""
-    found = F.array_distinct(F.regexp_extract_all(column, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1))
-    hits = F.array_sort(F.array_intersect(found, F.array(*[F.lit(k) for k in forbidden])))
-    return documents.withColumn("forbidden", hits).filter(F.size("forbidden") > 0)
+def forbidden_keys(documents: DataFrame, identifier: str, column: str, forbidden: list[str]) -> DataFrame:
+    """(identifier, forbidden, problem): rows whose JSON has a forbidden key at any depth, and rows that are no strict JSON.
+
+    ``identifier`` is unique.  A row with a problem has null ``forbidden``.
+    """
+    bad = documents.select(identifier, F.lit(None).cast("array<string>").alias("forbidden"), json_problem(F.col(column)).alias("problem")).filter("problem IS NOT NULL")
+    keys = nested_keys(documents, column, identifier).filter(F.col("key").isin(forbidden))
+    found = keys.groupBy(identifier).agg(F.array_sort(F.collect_set("key")).alias("forbidden"))
+    return found.withColumn("problem", F.lit(None).cast("string")).unionByName(bad)
 
 
 def provenance_validity(records: DataFrame) -> DataFrame:

@@ -118,12 +118,25 @@ def text_rules_and_identity(spark, sf_dir):
     return rows.select("doc_id", T.is_relative_path(path).alias("relative_path"), name.rlike(T.SAFE_NAME).alias("safe_name"), F.coalesce(F.trim("source") != "", F.lit(False)).alias("there"), chain.alias("identity"))
 
 
-@query("""SELECT event_id, 'user_id' AS forbidden FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'secret,user_id' FROM events WHERE event_id % 3 = 1""")
+_ESCAPED = "us\\u0065r_id"
+
+
+@query("""SELECT conv_id || '-' || turn AS record_id, CASE conv_id % 5 WHEN 0 THEN 'user_id' WHEN 1 THEN 'secret,user_id' END AS forbidden, CASE conv_id % 5 WHEN 3 THEN 'duplicate-key' WHEN 4 THEN 'malformed' END AS problem
+FROM conversations WHERE conv_id % 5 <> 2""")
 def forbidden_keys(spark, sf_dir):
-    r = F.pmod("event_id", F.lit(3))
-    nested = F.when(r == 0, '{"a": [{"user_id": 1}], "b": "secret"}').when(r == 1, '{"user_id": {"x": {"secret": null}}}').otherwise('{"a": "user_id", "b": ["secret"]}')
-    found = reports.forbidden_keys(table(spark, sf_dir, "events").select("event_id", nested.alias("j")), "j", ["user_id", "secret"])
-    return found.select("event_id", F.array_join("forbidden", ",").alias("forbidden"))
+    """Turns as nested JSON whose texts are values: keys spelt in escapes count, quoted ones in a text do not, repeated ones are refused."""
+    r = F.pmod("conv_id", F.lit(5))
+    text = F.concat(F.lit('"user_id": '), "text")
+    inner = F.to_json(F.struct("role", text.alias("text")))
+    escaped = F.concat(F.lit('{"turns": [[7, {"' + _ESCAPED + '": '), inner, F.lit("}]]}"))
+    deep = F.concat(F.lit('{"user_id": {"x": {"secret": '), inner, F.lit("}}}"))
+    twice = F.concat(F.lit('{"a": {"b": '), inner, F.lit(', "\\u0062": 1}}'))
+    behind = F.when(F.pmod("turn", F.lit(2)) == 0, F.concat(inner, F.lit(", "), inner)).otherwise(F.concat(inner, F.lit(" user_id")))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("record_id"), F.when(r == 0, escaped).when(r == 1, deep).when(r == 2, inner).when(r == 3, twice).otherwise(behind).alias("j")
+    )
+    found = reports.forbidden_keys(rows, "record_id", "j", ["user_id", "secret"])
+    return found.select("record_id", F.array_join("forbidden", ",").alias("forbidden"), "problem")
 
 
 @query(f"""WITH r AS (SELECT doc_id, {_LABELS3} AS gold, {_GUESS3} AS predicted, CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error_type FROM (SELECT DISTINCT doc_id, quality, toxic FROM labels))

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara import schemas
-from evidara.operators.checks import ContractError, require_unique
+from evidara.functions.strict_json import json_problem
+from evidara.operators.checks import ContractError, kept, require_unique
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -39,17 +40,21 @@ def unique_records(spark: SparkSession, path: str, schema: str, key: str) -> Dat
 
 
 def strict_records(spark: SparkSession, path: str, schema: str, run_id: str | None = None) -> DataFrame:
-    """JSON lines without blank or malformed lines, unknown fields or (if given) records of another run."""
-    lines = spark.read.text(path, wholetext=False)
-    kept = F.from_json("value", schema, {"mode": "FAILFAST"})
+    """JSON lines without blank or malformed lines, repeated keys, unknown fields or (if given) records of another run.
+
+    The lines are read once and kept; what is wrong with any of them is counted in one pass.
+    """
     fields = F.array(*[F.lit(f.split()[0]) for f in _top_fields(schema)])
-    bad = lines.filter((F.trim("value") == "") | (F.size(F.array_except(F.json_object_keys("value"), fields)) > 0))
-    if not bad.isEmpty():
-        raise ContractError("blank line or unknown field")
-    rows = lines.select(kept.alias("r")).select("r.*")
-    if run_id is not None and not rows.filter(~F.col("run_id").eqNullSafe(F.lit(run_id))).isEmpty():
-        raise ContractError("a record belongs to another run")
-    return rows
+    read = spark.read.text(path, wholetext=False)
+    problem = F.coalesce(json_problem(F.col("value")), F.when(F.size(F.array_except(F.json_object_keys("value"), fields)) > 0, "unknown-field"))
+    record = F.when(problem.isNull(), F.from_json("value", schema, {"mode": "FAILFAST"}))
+    lines = kept(read.select(problem.alias("problem"), record.alias("r")))
+    if run_id is not None:
+        lines = lines.withColumn("problem", F.coalesce("problem", F.when(~F.col("r.run_id").eqNullSafe(F.lit(run_id)), "another-run")))
+    found = {r["problem"]: r["n"] for r in lines.filter("problem IS NOT NULL").groupBy("problem").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a kind
+    if found:
+        raise ContractError(f"refused lines: {', '.join(f'{n} {k}' for k, n in sorted(found.items()))}")
+    return lines.select("r.*")
 
 
 def _top_fields(schema: str) -> list[str]:
