@@ -8,7 +8,7 @@ from evidara.operators import journal, propositions
 from evidara.plans import views
 from evidara.plans.views import query, scratch, table
 from evidara.sources import readers, sinks
-from evidara.streaming import windows
+from evidara.streaming import machine, windows
 
 
 @query(f"""WITH {views.DOCS} SELECT doc_id::VARCHAR AS doc_id, title, sha256(text) AS digest FROM docs""")
@@ -86,6 +86,19 @@ def journal_once(spark, sf_dir):
     return windows.journal_once(table(spark, sf_dir, "events").select(F.col("user_id").alias("candidate_id"), F.col("event_type").alias("event"), "ts")).select("candidate_id", "event")
 
 
+@query("""WITH e AS (SELECT event_id // 3 AS candidate_id, CASE WHEN event_type = 'view' THEN 'started' ELSE 'result' END AS event FROM events), c AS (SELECT candidate_id, count(*) FILTER (event = 'started') AS starts, count(*) FILTER (event <> 'started') AS ends FROM e GROUP BY 1)
+SELECT candidate_id, starts, ends, CASE WHEN starts > 1 OR ends > 1 OR starts = 0 THEN 'invalid' WHEN ends = 1 THEN 'completed' ELSE 'outcome-unknown' END AS state FROM c""")
+def journal_stream(spark, sf_dir):
+    """The journal's machine over events that come in two files, with a restart between them."""
+    events = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 3).alias("candidate_id"), F.when(F.col("event_type") == "view", "started").otherwise("result").alias("event"))
+    path = scratch(spark)
+    for part in (0, 1):
+        events.filter(F.pmod("event_id", F.lit(2)) == part).select("candidate_id", "event").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("candidate_id long, event string").parquet(f"{path}/in")
+        machine.follow(machine.journal_states(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return machine.latest(spark, f"{path}/out").select("candidate_id", "starts", "ends", "state")
+
+
 @query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def journal_to_run(spark, sf_dir):
     planned = table(spark, sf_dir, "customer").select("c_custkey")
