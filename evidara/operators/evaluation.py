@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions.numeric import finite
 from evidara.functions.text import STANCES, canonical_newlines
-from evidara.operators.checks import violations
+from evidara.operators.checks import ContractError, broadcast_if_small, require_unique, violations
 
 SUPPORT, CONTRADICT, UNDECIDED = STANCES
 #: Canonical labels of a three-way classifier, in the order of its logits here.
@@ -215,20 +215,33 @@ def status_counts(rows: DataFrame, status: str, size: str) -> DataFrame:
     return rows.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("total"))
 
 
-def whole_groups(groups: DataFrame, most_groups: int = 12, most_rows: int = 48) -> DataFrame:
-    """Groups (group_id, size) taken whole, by id, while at most so many groups and rows are held in all; a group that does not fit is passed over.
+#: The most responses of the two parts of a pilot.
+MOST_CLARIFICATION, MOST_ASSESSMENT = 12, 48
 
-    Only the least ids can be taken: at most ``most_groups`` of each size up to
-    ``most_rows`` are ever looked at, so one small array decides.
-    """
-    first = W.partitionBy("size").orderBy("group_id")
-    few = groups.filter(F.col("size").between(1, most_rows)).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= most_groups)
-    start = F.struct(F.lit(0).cast("long").alias("rows"), F.array().cast(f"array<{dict(groups.dtypes)['group_id']}>").alias("taken"))
 
-    def step(acc, g):
-        fits = (F.size(acc["taken"]) < most_groups) & (acc["rows"] + g["size"] <= most_rows)
-        return F.struct(F.when(fits, acc["rows"] + g["size"]).otherwise(acc["rows"]).alias("rows"), F.when(fits, F.concat(acc["taken"], F.array(g["group_id"]))).otherwise(acc["taken"]).alias("taken"))
+def split_report(members: DataFrame, requested: DataFrame, clarification: int = MOST_CLARIFICATION, assessment: int = MOST_ASSESSMENT) -> DataFrame:
+    """(split, n_groups, n_responses, ceiling, refused) of the two parts that ``split_selection`` would make."""
+    rows = _split(members, requested).groupBy("split").agg(F.count_distinct("group_id").alias("n_groups"), F.count(F.lit(1)).alias("n_responses"))
+    ceiling = F.when(F.col("split") == "clarification", clarification).otherwise(assessment)
+    return rows.withColumn("ceiling", ceiling).withColumn("refused", F.col("n_responses") > F.col("ceiling"))
+
 
-    chosen = few.agg(F.array_sort(F.collect_list(F.struct("group_id", F.col("size").cast("long").alias("size")))).alias("g"))
-    taken = chosen.select(F.explode(F.aggregate("g", start, step)["taken"]).alias("group_id"))
-    return groups.join(F.broadcast(taken), "group_id", "left_semi")  # at most ``most_groups`` rows
+def split_selection(members: DataFrame, requested: DataFrame, clarification: int = MOST_CLARIFICATION, assessment: int = MOST_ASSESSMENT) -> DataFrame:
+    """(split, group_id, response_id): whole requested groups for clarification, all others for assessment.
+
+    ``members`` is (group_id, response_id).  Refused are requests that repeat or
+    name no group, and parts above their ceilings; nothing is left out to fit.
+    """
+    require_unique(requested, "group_id")
+    if not requested.join(members, "group_id", "left_anti").isEmpty():
+        raise ContractError("a requested group is not in the inventory")
+    over = [r["split"] for r in split_report(members, requested, clarification, assessment).filter("refused").collect()]  # two rows at most
+    if over:
+        raise ContractError(f"above the ceiling: {', '.join(sorted(over))}")
+    return _split(members, requested)
+
+
+def _split(members: DataFrame, requested: DataFrame) -> DataFrame:
+    named = broadcast_if_small(requested.select("group_id").distinct().withColumn("named", F.lit(True)))
+    split = F.when(F.col("named"), "clarification").otherwise("assessment").alias("split")
+    return members.join(named, "group_id", "left").select(split, "group_id", "response_id")

@@ -311,13 +311,26 @@ def shared_value_components(spark, sf_dir):
     return graph.shared_value_components(rows, "id", "v", "w")
 
 
-@query("""WITH RECURSIVE g AS (SELECT user_id AS group_id, count(*) AS size FROM events WHERE event_id % 20 = 0 GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY group_id) AS i FROM g),
-s AS (SELECT 0::BIGINT AS i, 0::HUGEINT AS n, 0 AS k, NULL::BIGINT AS taken UNION ALL
- SELECT o.i, CASE WHEN k < 12 AND n + size <= 48 THEN n + size ELSE n END, CASE WHEN k < 12 AND n + size <= 48 THEN k + 1 ELSE k END, CASE WHEN k < 12 AND n + size <= 48 THEN group_id END FROM s JOIN o ON o.i = s.i + 1)
-SELECT g.group_id, g.size FROM s JOIN g ON g.group_id = s.taken""")
-def whole_groups(spark, sf_dir):
-    groups = table(spark, sf_dir, "events").filter("event_id % 20 = 0").groupBy(F.col("user_id").alias("group_id")).agg(F.count(F.lit(1)).alias("size"))
-    return evaluation.whole_groups(groups)
+_MEMBERS = "m AS (SELECT conv_id AS group_id, conv_id || '-' || turn AS response_id, conv_id % 10 = 3 AS named FROM conversations)"
+
+
+def _members(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.concat("conv_id", F.lit("-"), "turn").alias("response_id"))
+    return rows, rows.filter("group_id % 10 = 3").select("group_id").distinct()
+
+
+@query(f"WITH {_MEMBERS} SELECT CASE WHEN named THEN 'clarification' ELSE 'assessment' END AS split, group_id, response_id FROM m")
+def split_selection(spark, sf_dir):
+    """Conversations whose id ends in 3 for clarification, under ceilings that the tables keep."""
+    rows, requested = _members(spark, sf_dir)
+    most = rows.count()
+    return evaluation.split_selection(rows, requested, most, most)
+
+
+@query(f"WITH {_MEMBERS} SELECT CASE WHEN named THEN 'clarification' ELSE 'assessment' END AS split, count(DISTINCT group_id) AS n_groups, count(*) AS n_responses, CASE WHEN named THEN 12 ELSE 48 END AS ceiling, count(*) > CASE WHEN named THEN 12 ELSE 48 END AS refused FROM m GROUP BY named")
+def split_report(spark, sf_dir):
+    """The same split against the pilot's own ceilings."""
+    return evaluation.split_report(*_members(spark, sf_dir))
 
 
 @query("""SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'contradiction' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'entailment' ELSE 'neutral' END AS label FROM (SELECT DISTINCT doc_id, quality, toxic FROM labels)""")
