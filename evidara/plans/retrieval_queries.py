@@ -261,6 +261,12 @@ def token_windows(spark, sf_dir):
     return chunking.token_windows(views.documents(spark, sf_dir))
 
 
+@query()
+def decoded_windows(spark, sf_dir):
+    """Windows bounded by a count over their decoded text; SQL has no such count, so a test holds them against a linear search."""
+    return chunking.decoded_windows(views.documents(spark, sf_dir), most=1024, overlap=32)
+
+
 @query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+$') AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM p),
 f AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_replace(piece, '^\s+', '') AS led FROM e),
 g AS (SELECT doc_id, i, base + length(piece) - length(led) AS start, regexp_replace(led, '\s+$', '') AS text FROM f)
