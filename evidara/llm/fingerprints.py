@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.llm.runtime import checkpointed
-from evidara.llm.words import words_of
+from evidara.llm.words import quick_words_of as words_of
 
 #: Levels of randomised subsets as (bits, subsets): one term in 2 ** bits, so many subsets.
 LEVELS = [(4, 16), (6, 24), (8, 32)]
@@ -32,6 +32,8 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 MOST_TERMS, MOST_TEXTS = 1 << 18, 1 << 20
 #: Bits of a term's hash in an entry; its tier stands above them.
 TERM_BITS = 61
+#: Groups that a level's subsets are split into before each subset is taken from its group.
+GROUPS = 4
 #: Rows to a range of doc_id, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 500, 1 << 16
 
@@ -84,13 +86,14 @@ def with_tiers(spread: DataFrame, words: DataFrame) -> DataFrame:
     """Adds each term's tier; null where the lexicon has no row.
 
     The lexicon is broadcast up to ``MOST_TERMS`` rows.  Beyond, only the terms
-    above the band are, which are few as each is in many texts; the others meet
-    the band in a shuffle.
+    above the band are, if they are as few, which is likely as each is in many
+    texts; the others meet the band in a shuffle.  ``spread`` has no texts, only
+    hashes, and a null term stands for a text without words.
     """
     if words.count() <= MOST_TERMS:
         return spread.join(F.broadcast(words), "term", "left")
-    met = spread.join(F.broadcast(words.filter("tier = 2")), "term", "left")
-    settled = F.col("tier").isNotNull() | F.col("t").isNull()
+    met = spread.join(_small(words.filter("tier = 2"), MOST_TERMS), "term", "left")
+    settled = F.col("tier").isNotNull() | F.col("term").isNull()
     rest = met.filter(~settled).drop("tier").join(words.filter("tier = 0"), "term", "left")
     return met.filter(settled).unionByName(rest)
 
@@ -111,18 +114,23 @@ def _with_parts(df: DataFrame, entries: str, whole: str, out: str) -> DataFrame:
     def hashed(terms: Column) -> Column:
         return F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(F.lit(0).cast("long"))
 
-    def on_level(i: int):
-        return lambda e: _cell(e, i) < LEVELS[i][1]
+    def within(i: int, least: int, end: int):
+        return lambda e: (_cell(e, i) >= least) & (_cell(e, i) < end)
 
     def in_subset(i: int, k: int):
         return lambda e: _cell(e, i) == k
 
-    own = [f"__{out}_{i}" for i in range(len(LEVELS))]
-    # Columns of their own: each subset then filters only the terms of its level.
-    df = df.withColumns({c: F.filter(entries, on_level(i)) for i, c in enumerate(own)})
+    # Columns of their own: a level's terms are found once, then those of each group of subsets, and a subset filters its group alone.
+    own = {f"__{out}_{i}": F.filter(entries, within(i, 0, n)) if n < 1 << bits else F.col(entries) for i, (bits, n) in enumerate(LEVELS)}
+    df, groups = df.withColumns(own), {}
+    for i, (c, (_, n)) in enumerate(zip(own, LEVELS, strict=True)):
+        width = n // GROUPS
+        groups |= {f"{c}_{g}": F.filter(c, within(i, g * width, (g + 1) * width)) for g in range(GROUPS)}
+    df = df.withColumns(groups)
     parts = [F.when(F.size(entries) > 0, F.xxhash64(entries)).otherwise(F.col(whole))]
-    for i, c in enumerate(own):
-        parts += [hashed(F.filter(c, in_subset(i, k))) for k in range(LEVELS[i][1])]
+    for i, (c, (_, n)) in enumerate(zip(own, LEVELS, strict=True)):
+        parts += [hashed(F.filter(f"{c}_{k * GROUPS // n}", in_subset(i, k))) for k in range(n)]
+    own |= groups
     return df.withColumn(out, F.array(*parts)).drop(*own)
 
 
@@ -190,7 +198,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     A null text is empty.  A text without a word is fingerprinted as a whole, so equal texts always have equal fingerprints.  Rows that share a
     doc_id follow each other in the order of their texts; null doc_ids come last.
-    A single row is its own next.  Other columns are not read.
+    A single row is its own next.  doc_id is an integer.  Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = lexicon(docs)
@@ -200,18 +208,19 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     placed = _in_order(docs, text).select("at", "border", "doc_id", "text", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next"))
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.coalesce(F.col("next"), F.lit("")).substr(F.lit(1), half))
     placed = placed.select("at", "border", "doc_id", "row", "text", edited.alias("edited"))
-    versions = placed.select(
-        "at", "row", "border", "doc_id", n.cast("long").alias("n_chars"), "edited",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("version"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))])).alias("v"),
-    )
-    spread = versions.select("*", F.posexplode_outer(F.array_distinct(words_of(F.col("v.text")))).alias("pos", "t")).withColumn("term", F.xxhash64("t"))
+    sides = [F.struct(F.lit(i).alias("version"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))]
+    versions = placed.select("at", "row", "border", "doc_id", n.cast("long").alias("n_chars"), F.explode(F.array(*sides)).alias("v"))
+    versions = versions.select("at", "row", "border", "doc_id", "n_chars", "v.version", F.col("v.text").alias("side"))
+    spread = versions.select("*", F.posexplode_outer(F.array_distinct(words_of(F.col("side")))).alias("pos", "t"))
+    # A term's row has hashes in place of texts, whichever way it meets the lexicon; those of the whole text stand on its first row.
     lead_row = F.coalesce("pos", F.lit(0)) == 0
-    entry = F.shiftleft(F.coalesce("tier", F.lit(1)).cast("long"), TERM_BITS).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
-    kept = with_tiers(spread, words).select(
-        "at", "row", "border", "doc_id", "n_chars", F.col("v.version").alias("version"), F.when(F.col("t").isNotNull(), entry).alias("entry"),
-        F.when(lead_row, F.xxhash64("v.text", F.lit("no term"))).alias("whole"),
-        F.when(lead_row & (F.col("v.version") == 0), F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"),
+    spread = spread.select(
+        "at", "row", "border", "doc_id", "n_chars", "version", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("term"),
+        F.when(lead_row, F.xxhash64("side", F.lit("no term"))).alias("whole"),
+        F.when(lead_row & (F.col("version") == 1), F.sha2(F.col("side").cast("binary"), 256)).alias("sha"),
     )
+    entry = F.shiftleft(F.coalesce("tier", F.lit(1)).cast("long"), TERM_BITS).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
+    kept = with_tiers(spread, words).select("at", "row", "border", "doc_id", "n_chars", "version", entry.alias("entry"), "whole", "sha")
     of_tier = lambda first: lambda e: F.shiftright(e, TERM_BITS) == F.shiftright(first, TERM_BITS)
     of = lambda i, c: F.when(F.col("version") == i, F.col(c))
     gathered = kept.groupBy("at", "row").agg(
