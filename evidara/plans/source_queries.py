@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidara.operators import journal, propositions
 from evidara.plans import views
 from evidara.plans.views import query, scratch, table
-from evidara.sources import readers, sinks
+from evidara.sources import archives, readers, sinks
 from evidara.streaming import machine, windows
 
 
@@ -123,3 +123,40 @@ def proposition_surfaces(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     quality = F.array(F.struct(F.lit("time").alias("role"), F.concat(F.lit("q"), (F.col("n_nationkey") % 3).cast("string")).alias("text")))
     return propositions.surfaces(n.select(F.col("n_name").alias("subject"), F.lit("is in").alias("predicate"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("object"), quality.alias("qualifiers")))
+
+
+#: Names of an annotation's label codes.
+LABEL_NAMES = {"-1": "significantly decreased", "0": "no significant difference", "1": "significantly increased"}
+
+
+@query("""WITH r AS (SELECT doc_id, quality - toxic AS code, doc_id % 7 AS k FROM labels),
+e AS (SELECT r.*, coalesce(d.text, '') AS text, coalesce(d.lang, '') AS outcome, substr(coalesce(d.text, ''), 3, 40) AS said FROM r JOIN documents d USING (doc_id)),
+f AS (SELECT *, CASE k WHEN 1 THEN 'zz' || said WHEN 2 THEN '' ELSE said END AS evidence FROM e)
+SELECT doc_id::VARCHAR AS prompt_id, outcome, evidence, CASE code WHEN -1 THEN 'significantly decreased' WHEN 0 THEN 'no significant difference' WHEN 1 THEN 'significantly increased' END AS label,
+CASE WHEN k = 4 THEN 'invalid_offset' WHEN k = 3 THEN 'publisher_unavailable' WHEN length(text) <= 41 THEN 'out_of_bounds' WHEN evidence = '' THEN 'empty_evidence' WHEN evidence = said THEN 'exact' ELSE 'mismatch' END AS status FROM f""")
+def archived_annotations(spark, sf_dir):
+    """Documents, prompts and annotations packed into archives and merged again from their members, each evidence judged by its offsets."""
+    path = scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    labels = table(spark, sf_dir, "labels")
+    k, said = F.pmod("doc_id", F.lit(7)), F.substring("text", 3, 40)
+    rows = labels.join(docs, "doc_id")
+    evidence = F.when(k == 1, F.concat(F.lit("zz"), said)).when(k == 2, "").otherwise(said)
+    start = F.when(k == 3, "-1").when(k == 4, "none").otherwise("2")
+    end = F.when(k == 3, "-1").otherwise("41")
+    code = (F.col("quality") - F.col("toxic")).cast("string")
+    own = F.col("doc_id").alias("PMCID"), F.col("doc_id").alias("PromptID")
+    texts = docs.select(F.concat(F.lit("txt_files/PMC"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    prompts = archives.csv_members(rows.select(*own, F.col("lang").alias("Outcome")), "prompts")
+    said_so = archives.csv_members(rows.select(*own, code.alias("Label Code"), evidence.alias("Annotations"), start.alias("Evidence Start"), end.alias("Evidence End")), "annotations")
+    archives.pack(texts.unionByName(prompts).unionByName(said_so), path)
+
+    found = archives.members(spark, path)
+    article = F.regexp_extract("name", r"^txt_files/PMC(.*)\.txt$", 1)
+    texts = found.filter(F.col("name").startswith("txt_files/")).select(article.alias("PMCID"), F.decode("content", "UTF-8").alias("text"))
+    prompts = archives.csv_rows(found.filter(F.col("name").startswith("prompts/")), ["PromptID", "Outcome"])
+    notes = archives.csv_rows(found.filter(F.col("name").startswith("annotations/")), ["PMCID", "PromptID", "Label Code", "Annotations", "Evidence Start", "Evidence End"])
+    label = F.create_map(*[F.lit(x) for pair in LABEL_NAMES.items() for x in pair])[F.col("Label Code")]
+    merged = notes.join(prompts, "PromptID").join(texts, "PMCID")
+    status = archives.evidence_status(F.col("text"), F.col("Annotations"), F.col("Evidence Start"), F.col("Evidence End"))
+    return merged.select(F.col("PromptID").alias("prompt_id"), F.col("Outcome").alias("outcome"), F.col("Annotations").alias("evidence"), label.alias("label"), status.alias("status"))
