@@ -160,3 +160,25 @@ def archived_annotations(spark, sf_dir):
     merged = notes.join(prompts, "PromptID").join(texts, "PMCID")
     status = archives.evidence_status(F.col("text"), F.col("Annotations"), F.col("Evidence Start"), F.col("Evidence End"))
     return merged.select(F.col("PromptID").alias("prompt_id"), F.col("Outcome").alias("outcome"), F.col("Annotations").alias("evidence"), label.alias("label"), status.alias("status"))
+
+
+_W = r"[ \t\n\r\f]"
+_CLAUSE = rf"(?s)^([^ \t\n\r\f].*?)({_W}+)((?:is|are|was|were|has|have|had|can|may|will|est|sont|ist|sind|war|hat)(?:{_W}+(?:not|never|pas|jamais|nicht|nie))?)({_W}+)([^ \t\n\r\f.!?].*)\z"
+_SPLIT = rf"(?s)^(.*?[^ \t\n\r\f])({_W}+)(during|after|before|pendant|nach|vor|than|versus|que|als|in|at|dans|im|among|for|pour|bei|with|by|avec|mit)({_W}+)([^ \t\n\r\f].*)\z"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+$') AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM p),
+f AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_replace(piece, '^\s+', '') AS led FROM e),
+g AS (SELECT doc_id, i, (base + length(piece) - length(led))::BIGINT AS start, regexp_replace(led, '\s+$', '') AS text FROM f),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal, start, text FROM g WHERE length(text) > 0),
+c AS (SELECT *, regexp_extract(text, '{_CLAUSE}', ['g1', 'g2', 'g3', 'g4', 'g5']) AS m FROM s WHERE regexp_matches(text, '{_CLAUSE}')),
+r AS (SELECT *, rtrim(m.g5, E' \t\n\r\f.!?') AS rest, start + length(m.g1) + length(m.g2) AS ps, start + length(m.g1) + length(m.g2) + length(m.g3) + length(m.g4) AS os FROM c),
+q AS (SELECT *, regexp_extract(rest, '{_SPLIT}', ['q1', 'q2', 'q3', 'q4', 'q5']) AS k FROM r)
+SELECT doc_id, ordinal::BIGINT AS ordinal, start AS sentence_start, start + length(text) AS sentence_end, m.g1 AS subject, start AS subject_start, m.g3 AS predicate, ps AS predicate_start,
+CASE WHEN k.q1 <> '' THEN k.q1 ELSE rest END AS object, os AS object_start, CASE WHEN k.q1 <> '' THEN k.q5 END AS qualifier, CASE WHEN k.q1 <> '' THEN os + length(k.q1) + length(k.q2) + length(k.q3) + length(k.q4) END AS qualifier_start,
+CASE WHEN k.q1 = '' THEN NULL WHEN k.q3 IN ('during', 'after', 'before', 'pendant', 'nach', 'vor') THEN 'time' WHEN k.q3 IN ('than', 'versus', 'que', 'als') THEN 'comparator' WHEN k.q3 IN ('in', 'at', 'dans', 'im') THEN 'study-context' WHEN k.q3 IN ('among', 'for', 'pour', 'bei') THEN 'population' ELSE 'intervention' END AS role,
+CASE WHEN regexp_matches(m.g3, '{_W}') THEN 'negative' ELSE 'positive' END AS polarity FROM q""")
+def extracted_propositions(spark, sf_dir):
+    """Propositions of all sentences of all documents, with their exact spans."""
+    found = propositions.extract_propositions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("proposition_id").withColumn("ordinal", F.col("ordinal").cast("long"))
