@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.operators.checks import broadcast_if_small
+
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Documents after an upsert of (doc_id, title, text, embedding), with ``action``.
@@ -30,7 +32,9 @@ def refresh_postings(stored: DataFrame, documents: DataFrame, changed: DataFrame
 
     ids = changed.select("doc_id").distinct()
     fresh = postings(documents.join(ids, "doc_id", "left_semi"))
-    return stored.join(ids, "doc_id", "left_anti").unionByName(fresh)
+    # The ids are the side that is held; the stored postings stream past them unsorted.
+    held = broadcast_if_small(ids.hint("shuffle_hash"))
+    return stored.join(held, "doc_id", "left_anti").unionByName(fresh)
 
 
 def replace_representations(stored: DataFrame, incoming: DataFrame, documents: DataFrame, representations: list[str]) -> DataFrame:
