@@ -1,6 +1,7 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
 P(token | history) = P(class | history) * P(cell | class, history) * P(token | cell).
+Classes are topics and bands of frequency, from all training documents.
 The class of the next token is a softmax over hashed features of the history:
 the last word, the last two, the last but one alone (skip) and the last two
 classes.  The words of a class are told apart by a binary tree over the leading
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evidara.llm.runtime import checkpointed, crc_residue, mix64, slices, to_signed
+from evidara.llm.runtime import MASK, checkpointed, crc_residue, mix64, slices, to_signed
 
 #: Tokens whose counts are broadcast: a fixed bound.
 HEAD_TOKENS = 1 << 20
-#: Documents that the classes are fitted on (about); weights and counts learn from all documents.
-CLASS_DOCUMENTS = 2000
 FIT_ROUNDS, STEP = 2, 0.3
-TOPICS, BANDS, ANCHORS = 6, 3, 64
+#: Classes of words; those below a count, and the end of a text, have one more each.
+TOPICS, BANDS, ANCHORS, LEAST_TOPIC_COUNT = 6, 3, 64, 4
+#: Anchors with less of the texts start no topic: they are far from all others.
+LEAST_ANCHOR_SHARE = 0.0005
 #: Hashed rows of each of the three word features of the class softmax, and the most that a growing corpus makes of them.
 FEATURE_ROWS, MOST_FEATURE_ROWS = 1 << 14, 1 << 17
 #: Hashed weights of the word trees: least and most; between them one for 64 to 128 training tokens.
@@ -50,6 +54,7 @@ MOST_DEPTH = 14
 BLOCK = 1 << 18
 #: The end of a text; no word contains white space.
 END = b" "
+END_HASH = int(np.uint64(xxhash.xxh64_intdigest(END)).astype(np.int64))
 #: Words in a task's own table before it starts anew.
 MOST_WORDS = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -61,45 +66,45 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 class WordClasses:
-    """Word -> class, a fixed function once fitted.
+    """Word -> class, a fixed function of the hash once fitted; all training rows count.
 
-    A class is a topic (of documents, by their frequent words) and a frequency
-    band; words outside the sample take the topic of their ending.  The end of a
-    text has a class of its own.
+    A class is a topic and a band of frequency.  Bands cut the words in falling
+    order of their count so that each holds about the same number of tokens;
+    words of one count stay together.  Words below ``least`` occurrences, words
+    beyond ``HEAD_TOKENS`` and uncounted ones have a class of their own, and so
+    has the end of a text.
     """
 
     def __init__(self, texts: list[list[bytes]]):
+        """From texts at hand, which are one topic."""
         counts = Counter(w for t in texts for w in t)
-        anchors = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ANCHORS])}
-        points = np.zeros((len(texts), max(1, len(anchors))))
-        for row, t in zip(points, texts, strict=True):
-            for w in t:
-                if w in anchors:
-                    row[anchors[w]] += 1
-        topic = _k_means(np.sqrt(points), TOPICS)
-        number = {w: i for i, w in enumerate(counts)}
-        by_word, total = np.zeros((len(number), TOPICS), np.float32), np.ones(TOPICS)
-        for t, k in zip(texts, topic.tolist(), strict=True):
-            total[k] += len(t)
-            own = Counter(t)
-            by_word[[number[w] for w in own], k] += list(own.values())
-        endings = {e: i for i, e in enumerate(dict.fromkeys(map(self.ending, counts)))}
-        by_ending = np.zeros((len(endings), TOPICS))
-        np.add.at(by_ending, [endings[self.ending(w)] for w in number], by_word)
-        frequent = {w: (0 if i < 256 else 1) for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4096])}
-        best = np.argmax(by_word / total, axis=1).tolist()
-        self.words = {w: best[i] * BANDS + frequent.get(w, 2) for w, i in number.items() if counts[w] > 1}
-        self.endings = dict(zip(endings, (np.argmax(by_ending / total, axis=1) * BANDS + 2).tolist(), strict=True))
-        self.count = TOPICS * BANDS + 1
-        self.words[END] = self.count - 1
-
-    @staticmethod
-    def ending(word: bytes) -> bytes:
-        return word.rstrip(b".,;:!?")[-3:]
-
-    def __call__(self, word: bytes) -> int:
-        found = self.words.get(word)
-        return found if found is not None else self.endings.get(self.ending(word), BANDS - 1)
+        h, c = np.array([xxhash.xxh64_intdigest(w) for w in counts], np.uint64), np.array(list(counts.values()), np.int64)
+        self._set(h, c, np.zeros(len(h), np.int64))
+
+    @classmethod
+    def fitted(cls, train: DataFrame, counts: DataFrame) -> WordClasses:
+        """From all words of ``train`` and their ``counts``."""
+        made = cls.__new__(cls)
+        heads = _head(counts.filter((F.col("h") != END_HASH) & (F.col("c") >= LEAST_TOPIC_COUNT)))
+        made._set(*heads, _topics(train, *heads))
+        return made
+
+    def _set(self, hashes: np.ndarray, counts: np.ndarray, topics: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        hashes, counts, topics = hashes[order], counts[order], topics[order]
+        sizes, tokens = np.unique(counts, return_inverse=True)
+        mass = np.bincount(tokens, counts, minlength=len(sizes))
+        above = mass.sum() - np.cumsum(mass)  # tokens of the more frequent words
+        band = (BANDS * above / max(1.0, mass.sum())).astype(np.int64)[tokens]
+        self.heads, self.head_kinds, self.count = hashes, (topics * BANDS + band).astype(np.uint8), TOPICS * BANDS + 2
+
+    def kinds(self, hashes: np.ndarray) -> np.ndarray:
+        """The classes of words, by their hashes."""
+        out = np.full(len(hashes), self.count - 2, np.int64)
+        if len(self.heads):
+            spot = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
+            out = np.where(self.heads[spot] == hashes, self.head_kinds[spot], out)
+        return np.where(hashes == np.uint64(END_HASH & MASK), self.count - 1, out)
 
 
 def _k_means(points: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -123,46 +128,152 @@ def _k_means(points: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return own
 
 
+def _anchored(part: Words, anchors: np.ndarray) -> np.ndarray:
+    """Unit-scaled roots of how often each text has each anchor."""
+    spot = np.minimum(np.searchsorted(anchors, part.hashes), len(anchors) - 1)
+    column = np.where(anchors[spot] == part.hashes, spot, -1)[part.ids]
+    row = np.repeat(np.arange(len(part.starts)), np.diff(part.starts, append=len(part.ids)))
+    some = column >= 0
+    points = np.sqrt(np.bincount(row[some] * len(anchors) + column[some], minlength=len(part.starts) * len(anchors)).reshape(-1, len(anchors)))
+    return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+
+
+def _topics(train: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The topic in which each of some words is most frequent, over all texts.
+
+    Topics are clusters of the most frequent words (anchors) by the texts that
+    they share; a text has the topic of most of its anchors.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    anchors = np.sort(hashes[np.lexsort((hashes, -counts))[:ANCHORS]])
+    context = train.sparkSession.sparkContext
+
+    def meet(batches):
+        met = np.zeros((len(anchors), len(anchors)))
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                points = _anchored(Words(texts), anchors)
+                met += points.T @ points
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(met.size, dtype=np.int32)), pa.array(met.ravel())], ["at", "x"])
+
+    rows = as_words(train).select("words")
+    told = rows.mapInArrow(meet, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    met = np.zeros(len(anchors) ** 2)
+    met[told.column("at").to_numpy()] = np.round(told.column("x").to_numpy(), 6)  # sums in any order
+    met = met.reshape(len(anchors), -1)
+    scale = np.sqrt(np.maximum(np.diag(met), 1e-9))
+    rare = np.diag(met) < LEAST_ANCHOR_SHARE * np.trace(met)
+    met[rare], met[:, rare] = 0.0, 0.0
+    cluster = np.eye(TOPICS)[_k_means(met / scale / scale[:, None], TOPICS)]
+    shared = context.broadcast(hashes)
+
+    def count(batches):
+        heads, held = shared.value, np.zeros((len(hashes), TOPICS), np.int32)
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                part = Words(texts)
+                topic = np.argmax(_anchored(part, anchors) @ cluster, axis=1)
+                spot = np.minimum(np.searchsorted(heads, part.hashes), len(heads) - 1)
+                spot = np.where(heads[spot] == part.hashes, spot, -1)[part.ids]
+                row = np.repeat(topic, np.diff(part.starts, append=len(part.ids)))
+                some = spot >= 0
+                np.add.at(held.reshape(-1), spot[some] * TOPICS + row[some], 1)
+        some = np.flatnonzero(held.any(axis=1))
+        for at in range(0, len(some), 100_000):
+            own = some[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(held[own, k].astype(np.int64)) for k in range(TOPICS))], ["at", *(f"c{k}" for k in range(TOPICS))])
+
+    schema = ", ".join(["at int", *(f"c{k} long" for k in range(TOPICS))])
+    told = rows.mapInArrow(count, schema).groupBy("at").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(TOPICS)]).toArrow()  # HEAD_TOKENS rows at most
+    held = np.stack([told.column(f"c{k}").to_numpy() for k in range(TOPICS)], axis=1)
+    out = np.zeros(len(hashes), np.int64)
+    out[told.column("at").to_numpy()] = np.argmax(held / (held.sum(axis=0) + 1.0), axis=1)
+    shared.unpersist()
+    return out
+
+
 class WordTable(dict):
     """Word -> number, with each number's hash and class; a task's own vocabulary."""
 
     def __init__(self, classes: WordClasses):
         super().__init__()
-        self.classes, self.hash, self.kind = classes, array("Q"), array("B")
+        self.classes, self.hash, self.kind = classes, array("Q"), np.zeros(0, np.int64)
         self.end = self[END]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.hash)
         self.hash.append(xxhash.xxh64_intdigest(word))
-        self.kind.append(self.classes(word))
         return number
 
     def hashes(self) -> np.ndarray:
         return np.array(self.hash, np.uint64)
 
     def kinds(self) -> np.ndarray:
-        return np.array(self.kind, np.int64)
+        if len(self.kind) < len(self.hash):
+            self.kind = np.concatenate((self.kind, self.classes.kinds(self.hashes()[len(self.kind) :])))
+        return self.kind
 
     def numbers(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all texts one behind the other, and where each text begins."""
-        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        # A copy of its own: lowering a cast slice loses bytes in Arrow.
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays([column.fill_null("")]).cast(pa.large_string())))
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        flat = split.flatten()
-        there = pc.binary_length(flat).to_numpy() > 0  # white space at either end leaves an empty piece
-        words = flat.filter(pa.array(there)).dictionary_encode()
-        before = np.concatenate(([0], np.cumsum(there)))[offsets]
-        own = np.fromiter(map(self.__getitem__, words.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(words.dictionary))
-        starts = before[:-1] + np.arange(len(column))
-        ids = np.full(len(words) + len(column), self.end, np.int64)
-        inside = np.ones(len(ids), bool)
-        inside[before[1:] + np.arange(len(column))] = False
-        ids[inside] = own[words.indices.to_numpy()]
+        words, at, inside, starts = split_tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        own = np.fromiter(map(self.__getitem__, words.to_pylist()), np.int64, len(words))
+        ids = np.full(len(inside), self.end, np.int64)
+        ids[inside] = own[at]
         return ids, starts
 
 
-def history(ids: np.ndarray, starts: np.ndarray, table: WordTable, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+def split_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word, which tokens are words (not ends), and where each text begins."""
+    # A copy of its own: lowering a cast slice loses bytes in Arrow.
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays([texts.fill_null("")]).cast(pa.large_string())))
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    flat = split.flatten()
+    there = pc.binary_length(flat).to_numpy() > 0  # white space at either end leaves an empty piece
+    words = flat.filter(pa.array(there)).dictionary_encode()
+    before = np.concatenate(([0], np.cumsum(there)))[offsets]
+    inside = np.ones(len(words) + len(texts), bool)
+    inside[before[1:] + np.arange(len(texts))] = False
+    return words.dictionary.cast(pa.large_binary()), words.indices.to_numpy(), inside, before[:-1] + np.arange(len(texts))
+
+
+class Words:
+    """Texts as the hashes of their tokens: the distinct ones, each token's number among them, where each text begins."""
+
+    def __init__(self, texts: pa.Array):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        flat = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+        self.starts = ((offsets[:-1] - offsets[0]) // 8).astype(np.int64)
+        self.hashes, self.ids = np.unique(flat, return_inverse=True)
+        self.end = int(np.searchsorted(self.hashes, np.uint64(END_HASH & MASK)))
+
+
+def as_words(df: DataFrame) -> DataFrame:
+    """``df`` with a column ``words`` in place of ``text``: the hashes of its tokens and its end, 8 bytes each."""
+    if "words" in df.columns:
+        return df
+    kept = [f for f in df.schema.fields if f.name != "text"]
+
+    def hashed(batches):
+        for batch in batches:
+            at, column = 0, batch.column(batch.schema.get_field_index("text"))
+            for texts in slices(column):
+                words, number, inside, starts = split_tokens(texts)
+                ends, letters = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1].tolist(), words.buffers()[2]
+                letters = letters.to_pybytes() if letters else b""
+                own = np.array([xxhash.xxh64_intdigest(letters[i:j]) for i, j in pairwise(ends)], np.uint64)
+                hashes = np.full(len(inside), END_HASH & MASK, np.uint64)
+                hashes[inside] = own[number]
+                offsets = np.append(starts, len(hashes)) * 8
+                made = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(hashes)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(at, len(texts)) for f in kept), made], [*(f.name for f in kept), "words"])
+                at += len(texts)
+
+    schema = T.StructType([*kept, T.StructField("words", T.BinaryType())])
+    return df.select(*[f.name for f in kept], "text").mapInArrow(hashed, schema)
+
+
+def history(ids: np.ndarray, starts: np.ndarray, table: WordTable | Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each token: numbers of the last word and of the last but one; hashes of the last, the last two, and the last but one."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[0], one[1:] = table.end, ids[:-1]
@@ -214,7 +325,7 @@ class Softmax:
         x, _, total = self._raised(rows)
         return x[np.arange(len(kinds)), kinds] - np.log(total)
 
-    def train(self, rows: np.ndarray, kinds: np.ndarray, squares: np.ndarray, batch: int = 8192) -> None:
+    def train(self, rows: np.ndarray, kinds: np.ndarray, squares: np.ndarray, batch: int = 16384) -> None:
         """Adagrad steps over the tokens in batches."""
         for at in range(0, len(kinds), batch):
             r, k = rows[at : at + batch], kinds[at : at + batch]
@@ -231,9 +342,12 @@ class Softmax:
             self._step(r[:1, 4], g.sum(axis=0, keepdims=True), squares)
 
     def _step(self, touched: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
-        held = squares[touched] + sums**2
+        held = squares.take(touched, axis=0)
+        held += sums * sums
         squares[touched] = held
-        self.weights[touched] -= STEP * sums / np.sqrt(held)
+        sums *= STEP
+        sums /= np.sqrt(held, out=held)
+        self.weights[touched] = self.weights.take(touched, axis=0) - sums
 
 
 class WordTree:
@@ -312,11 +426,8 @@ def _power(x: float, least: int, most: int) -> int:
 
 
 def fit_classes(train: DataFrame) -> WordClasses:
-    """Word classes from about ``CLASS_DOCUMENTS`` training rows, picked by a salted hash."""
-    n = train.count()
-    if n > CLASS_DOCUMENTS:
-        train = train.filter(F.pmod(F.xxhash64(F.lit("word classes"), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * CLASS_DOCUMENTS / n))
-    return WordClasses([tokens_of(t) for t in train.select("text").toArrow().column(0).to_pylist()])
+    """Word classes from all training rows."""
+    return WordClasses.fitted(train, count_words(train))
 
 
 def cell_masses(counts: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -351,6 +462,7 @@ def _average(batches):
 
 def fit_softmax(train: DataFrame, classes: WordClasses, depth: np.ndarray, masses: np.ndarray, tokens: int) -> tuple[Softmax, WordTree]:
     """Weights of both factors from all training rows; their number grows with ``tokens``."""
+    train = as_words(train)
     softmax = Softmax(classes.count, features=_power(tokens / 4096, FEATURE_ROWS, MOST_FEATURE_ROWS))
     tree = WordTree(depth, masses, _power(tokens / 128, LEAST_SLOTS, MOST_SLOTS))
     context, shape, cut = train.sparkSession.sparkContext, softmax.weights.shape, softmax.weights.size
@@ -362,14 +474,12 @@ def fit_softmax(train: DataFrame, classes: WordClasses, depth: np.ndarray, masse
             classes, depth, masses, flat, roots = shared.value
             weights, squares = flat.astype(np.float32), roots.astype(np.float32) ** 2
             softmax, tree = Softmax(classes.count, weights[:cut].reshape(shape), softmax_features), WordTree(depth, masses, len(flat) - cut, weights[cut:])
-            scratch, table, seen = np.zeros(len(flat) - cut, np.float32), WordTable(classes), 0
+            scratch, seen = np.zeros(len(flat) - cut, np.float32), 0
             for batch in batches:
                 for texts in slices(batch.column(0)):
-                    if len(table.hash) > MOST_WORDS:
-                        table = WordTable(classes)
-                    ids, starts = table.numbers(texts)
-                    hashes, kinds = table.hashes(), table.kinds()
-                    past, own = history(ids, starts, table, hashes), kinds[ids]
+                    part = Words(texts)
+                    ids, hashes, kinds = part.ids, part.hashes, classes.kinds(part.hashes)
+                    past, own = history(ids, part.starts, part, hashes), kinds[ids]
                     softmax.train(softmax.rows_of(past, kinds), own, squares[:cut].reshape(shape))
                     tree.train(own, tree.cells(hashes, kinds)[ids], [(h >> np.uint64(32)).astype(np.uint32) for h in past[2:]], squares[cut:], scratch)
                     seen += len(ids)
@@ -380,7 +490,7 @@ def fit_softmax(train: DataFrame, classes: WordClasses, depth: np.ndarray, masse
 
         softmax_features = softmax.features
         # As many tasks as the cluster runs at once: each sends one table, whatever the input.
-        rows = train.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(FIT_ROUNDS)) == at).select("text").coalesce(max(1, context.defaultParallelism))
+        rows = train.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "words"), F.lit(FIT_ROUNDS)) == at).select("words").coalesce(max(1, context.defaultParallelism))
         told = rows.mapInArrow(step, "block int, weights binary, squares binary, base binary")
         flat, squares = flat.copy(), squares.copy()
         for r in told.groupBy("block").applyInArrow(_merged, "block int, weights binary, squares binary").toLocalIterator():
@@ -396,31 +506,51 @@ def _merged(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches(list(_average(group.to_batches())))
 
 
-def count_tokens(train: DataFrame, classes: WordClasses) -> DataFrame:
-    """(h, kind, c): hash, class and count of every distinct token of all training rows."""
-    shared = train.sparkSession.sparkContext.broadcast(classes)
+def count_words(train: DataFrame) -> DataFrame:
+    """(h, c): hash and count of every distinct token of all training rows."""
 
     def count(batches):
-        table, counts = WordTable(shared.value), np.zeros(0, np.int64)
+        held, size = [], 0
 
         def told():
-            some = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(to_signed(table.hashes())[some]), pa.array(table.kinds()[some].astype(np.int32)), pa.array(counts[some])], ["h", "kind", "c"])
+            h, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+            return h, c
 
         for batch in batches:
             for texts in slices(batch.column(0)):
-                ids, _ = table.numbers(texts)
-                more = np.bincount(ids, minlength=len(table.hash))
-                more[: len(counts)] += counts
-                counts = more
-                if len(table.hash) > MOST_WORDS:
-                    yield told()
-                    table, counts = WordTable(shared.value), np.zeros(0, np.int64)
-        if counts.any():
-            yield told()
+                part = Words(texts)
+                held.append((part.hashes, np.bincount(part.ids)))
+                size += len(part.hashes)
+                if size > 2 * MOST_WORDS:
+                    held = [told()]
+                    size = len(held[0][0])
+                    if size > MOST_WORDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(to_signed(held[0][0])), pa.array(held[0][1])], ["h", "c"])
+                        held, size = [], 0
+        if held:
+            h, c = told()
+            yield pa.RecordBatch.from_arrays([pa.array(to_signed(h)), pa.array(c)], ["h", "c"])
+
+    return as_words(train).select("words").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def with_kinds(counts: DataFrame, classes: WordClasses) -> DataFrame:
+    """(h, kind, c): counted words with their classes."""
+    shared = counts.sparkSession.sparkContext.broadcast(classes)
+
+    def told(batches):
+        for batch in batches:
+            h = batch.column(0)
+            kinds = shared.value.kinds(h.to_numpy().view(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([h, pa.array(kinds), batch.column(1)], ["h", "kind", "c"])
 
-    rows = train.select("text").mapInArrow(count, "h long, kind int, c long")
-    return rows.groupBy("h", "kind").agg(F.sum("c").alias("c"))
+    return counts.select("h", "c").mapInArrow(told, "h long, kind int, c long")
+
+
+def count_tokens(train: DataFrame, classes: WordClasses) -> DataFrame:
+    """(h, kind, c): hash, class and count of every distinct token of all training rows."""
+    return with_kinds(count_words(train), classes)
 
 
 def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -447,11 +577,11 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     training set leaves every token unknown.  Repeated rows are counted and
     scored as often as they stand; whole texts count; other columns are not read.
     """
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    rows = checkpointed(as_words(docs.select("doc_id", held_out.alias("held_out"), "text")))
     train = rows.filter(~F.col("held_out"))
-    classes = fit_classes(train)
-    counts = checkpointed(count_tokens(train, classes))
-    depth, masses, total, distinct = cell_masses(counts, classes.count)
+    counts = checkpointed(count_words(train))
+    classes = WordClasses.fitted(train, counts)
+    depth, masses, total, distinct = cell_masses(with_kinds(counts, classes), classes.count)
     softmax, tree = fit_softmax(train, classes, depth, masses, total)
     log_z = math.log10(total + 0.5 * (distinct + 1))
     shared = docs.sparkSession.sparkContext.broadcast((classes, softmax.weights, softmax.features, depth, masses, tree.weights, *_head(counts)))
@@ -459,30 +589,24 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
 
     def score(batches):
         classes, weights, features, depth, masses, slots, head, head_counts = shared.value
-        softmax, tree, table = Softmax(classes.count, weights, features), WordTree(depth, masses, len(slots), slots), WordTable(classes)
-        log_mass, known = np.log10(masses), {}
+        softmax, tree = Softmax(classes.count, weights, features), WordTree(depth, masses, len(slots), slots)
+        log_mass = np.log10(masses)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1)):
-                if len(table.hash) > MOST_WORDS:
-                    table, known = WordTable(classes), {}
-                ids, starts = table.numbers(texts)
-                hashes, kinds = table.hashes(), table.kinds()
-                done = len(known["count"]) if known else 0
-                if done < len(hashes):
-                    # Of each new word in the table: its count, -1 for those outside the head; its own part of the scores; its cell and that cell's mass.
-                    spot = np.minimum(np.searchsorted(head, hashes[done:]), max(0, len(head) - 1))
-                    more = np.where(head[spot] == hashes[done:], head_counts[spot], -1) if len(head) else np.full(len(hashes) - done, -1)
-                    cell = tree.cells(hashes[done:], kinds[done:])
-                    new = {"count": more, "own": np.where(more >= 0, np.log10(np.maximum(more, 0) + 0.5), 0.0), "cells": cell, "mass": log_mass[tree.offset[kinds[done:]] + cell]}
-                    known = {c: np.concatenate((known[c], x)) if known else x for c, x in new.items()}
-                count, own, cells, own_mass = (known[c] for c in ("count", "own", "cells", "mass"))
+            for texts in slices(batch.column(2)):
+                part = Words(texts)
+                ids, starts, hashes, kinds = part.ids, part.starts, part.hashes, classes.kinds(part.hashes)
+                # Of each word: its count, -1 for those outside the head; its own part of the scores; its cell and that cell's mass.
+                spot = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
+                count = np.where(head[spot] == hashes, head_counts[spot], -1) if len(head) else np.full(len(hashes), -1)
+                own, cells = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0), tree.cells(hashes, kinds)
+                own_mass = log_mass[tree.offset[kinds] + cells]
                 log_class = np.empty(len(ids))
-                past = history(ids, starts, table, hashes)
+                past = history(ids, starts, part, hashes)
                 rows, tops = softmax.rows_of(past, kinds), [(h >> np.uint64(32)).astype(np.uint32) for h in past[2:]]
                 for i in range(0, len(ids), 16384):
-                    part = ids[i : i + 16384]
-                    log_class[i : i + 16384] = softmax.log_probability(rows[i : i + 16384], kinds[part]) + tree.log_probability(kinds[part], cells[part], [h[i : i + 16384] for h in tops])
+                    own_ids = ids[i : i + 16384]
+                    log_class[i : i + 16384] = softmax.log_probability(rows[i : i + 16384], kinds[own_ids]) + tree.log_probability(kinds[own_ids], cells[own_ids], [h[i : i + 16384] for h in tops])
                 log_class /= math.log(10)
                 word = own[ids]
                 length = np.diff(starts, append=len(ids))
@@ -492,7 +616,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
                 ends = np.searchsorted(keys >> 32, np.arange(len(starts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(length),
+                        batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(length),
                         pa.array(np.add.reduceat((count[ids] > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(word, starts) - length * log_z),
                         pa.array(np.add.reduceat(word + log_class - own_mass[ids], starts)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(to_signed(hashes)[keys & 0xFFFFFFFF])), pa.ListArray.from_arrays(pa.array(ends), pa.array(times)),
