@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.functions.numeric import round_to
 
+#: Rows of windows that a task of ``best_pair`` sorts, about: with more rows there are more tasks, not larger ones.
+ROWS_A_TASK = 400_000
+
 
 def union_intervals(df: DataFrame, *by: str) -> DataFrame:
     """Merged intervals (start, end) of each group; touching ones merge, empty ones say nothing."""
@@ -57,11 +62,14 @@ def invalid_windows(windows: DataFrame, *by: str) -> DataFrame:
 def best_pair(windows: DataFrame, reference: DataFrame, *by: str) -> DataFrame:
     """The two windows (one, if there is one) that cover most of the reference, per group.
 
-    Windows do not overlap each other, so a pair covers the sum of both.  Ties go to the smaller
-    starts.  The pair that covers most consists of the two best windows, so no pairs are formed.
+    Windows do not overlap each other, so a pair covers the sum of both; a window given twice is one.
+    Ties go to the smaller starts.  The pair that covers most consists of the two best windows, so no
+    pairs are formed.  Both sides are dealt by group once, to as many tasks as their rows ask for.
     """
-    merged = union_intervals(reference, *by).withColumnsRenamed({"start": "s2", "end": "e2"})
-    met = windows.join(merged, list(by), "left")
+    parts = max(1, ceil(max(windows.count(), reference.count()) / ROWS_A_TASK))
+    dealt = lambda df: df.select(*by, "start", "end").repartition(parts, *by).distinct()
+    merged = union_intervals(dealt(reference), *by).withColumnsRenamed({"start": "s2", "end": "e2"})
+    met = dealt(windows).join(merged, list(by), "left")
     part = F.greatest(F.lit(0), F.least("end", "e2") - F.greatest("start", "s2"))
     covered = met.groupBy(*by, "start", "end").agg(F.sum(F.coalesce(part, F.lit(0))).alias("covered"))
     own = W.partitionBy(*by).orderBy(F.desc("covered"), "start", "end")

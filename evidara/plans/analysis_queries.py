@@ -170,8 +170,8 @@ c AS (SELECT k, w.s, w.e, greatest(0, least(w.e, r.e) - greatest(w.s, r.s)) AS n
 b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, len(starts) DESC, starts) AS i FROM p) SELECT k, n::BIGINT AS covered FROM b WHERE i = 1""")
 def best_pair(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem")
-    windows = rows.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 50).alias("start"), (F.col("l_linenumber") * 50 + 40).alias("end")).distinct()
-    reference = rows.select(F.col("l_orderkey").alias("k"), (30 + F.pmod("l_orderkey", F.lit(100))).alias("start"), (130 + F.pmod("l_orderkey", F.lit(200))).alias("end")).distinct()
+    windows = rows.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 50).alias("start"), (F.col("l_linenumber") * 50 + 40).alias("end"))
+    reference = rows.select(F.col("l_orderkey").alias("k"), (30 + F.pmod("l_orderkey", F.lit(100))).alias("start"), (130 + F.pmod("l_orderkey", F.lit(200))).alias("end"))
     return intervals.best_pair(windows, reference, "k").select("k", "covered")
 
 
