@@ -16,6 +16,8 @@ from evidara.llm.runtime import TEXT_KEYS, checkpointed, small, table, with_text
 LEAST_LANGUAGE_SCORE = 0.2
 #: Rows to drop that may be broadcast; with more the join shuffles.
 MOST_BROADCAST_ROWS = 1 << 20
+#: Characters that the last stage encodes together; its workers also hold what the stages before left in them.
+RUN_CHARACTERS = 400_000
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every document left, and whether they decode to its text."""
-    return pieces.encode_documents(docs, check=True)
+    return pieces.encode_documents(docs, check=True, run_characters=RUN_CHARACTERS)
 
 
 STAGES = [

@@ -115,6 +115,16 @@ def distinct(found: np.ndarray) -> np.ndarray:
     return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
+def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that stand more than once in arrays, sorted, and how often; beside one sorted copy, only they take memory."""
+    found = np.concatenate(held)
+    found.sort()
+    same = np.zeros(len(found) + 1, bool)
+    same[1:-1] = found[1:] == found[:-1]  # as the value before
+    first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+    return found[first], last - first + 1
+
+
 def shingle_set(text: str | None, width: int, hashes: dict) -> np.ndarray:
     """Sorted distinct shingle hashes of one whole text."""
     return distinct(next(shingle_runs([text], width, hashes))[0])
@@ -183,8 +193,8 @@ def _statistics(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, di
         hashes, sizes, held, n = _WordHashes(), Counter(), [], 0
 
         def counted():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            keys, counts = to_signed(keys[counts > 1]), counts[counts > 1]
+            keys, counts = repeated(held)
+            keys = to_signed(keys)
             return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(counts)], ["kind", "key", "n"])
 
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidara.llm.runtime import crc_residue
+from evidara.llm.runtime import crc_residue, slices
 
 UNDETERMINED = "und"
 PROFILE_GRAMS = 400
@@ -190,7 +190,10 @@ def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], least: floa
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([kept(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            at = 0
+            for texts in slices(batch.column("text")):  # so that few texts at a time stand in Python and in the output
+                yield batch.slice(at, len(texts)).filter(pa.array([kept(t) for t in texts.to_pylist()], pa.bool_()))
+                at += len(texts)
 
     return docs.mapInArrow(run, docs.schema)
 
