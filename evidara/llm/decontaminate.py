@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.llm.runtime import TEXT_KEYS, checkpointed, with_text_keys
-from evidara.llm.words import words_of
+from evidara.llm.words import quick_words_of, words_of
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -25,19 +25,9 @@ SHINGLE_WORDS = 3
 BLOCK_WINDOWS = 100_000
 
 
-def _token(k: int, at: str = "z") -> Column:
-    """Hash of the first k words of a zipped shingle."""
-    return F.xxhash64(*[F.col(f"{at}.{i}") for i in range(k)])
-
-
-def _zipped(df: DataFrame, words: str) -> DataFrame:
-    """Adds z: for each position the word there and the two behind it (null past the end)."""
-    n = F.size(words)
-    for i in range(1, SHINGLE_WORDS):
-        df = df.withColumn(f"{words}_{i}", F.slice(F.col(words), i + 1, F.greatest(n - i, F.lit(0))))
-    zipped = F.arrays_zip(F.col(words), *[F.col(f"{words}_{i}") for i in range(1, SHINGLE_WORDS)])
-    fields = ", ".join(f"`{i}`: string" for i in range(SHINGLE_WORDS))
-    return df.withColumn("z", zipped.cast(f"array<struct<{fields}>>")).drop(*[f"{words}_{i}" for i in range(1, SHINGLE_WORDS)])
+def _token(k: int, words: str, pos: Column) -> Column:
+    """Hash of k words from a position on; words past the end are null."""
+    return F.xxhash64(*[F.get(F.col(words), pos + i) for i in range(k)])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -47,8 +37,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     windows = items.select("item_id", "w", length.alias("len"), F.explode(F.sequence(F.lit(1), F.size("w") - length + 1)).alias("i"))
     windows = windows.select("item_id", "len", F.slice("w", F.col("i"), F.col("len")).alias("window")).distinct()
     windows = windows.withColumn("k", F.least(F.lit(SHINGLE_WORDS), F.col("len")))
-    spots = _zipped(windows, "window").select("item_id", "len", "window", "k", F.posexplode("z").alias("off", "z")).filter(F.col("off") <= F.col("len") - F.col("k"))
-    token = F.when(F.col("k") == 1, _token(1)).when(F.col("k") == 2, _token(2)).otherwise(_token(3))
+    spots = windows.select("item_id", "len", "window", "k", F.posexplode("window").alias("off", "word")).filter(F.col("off") <= F.col("len") - F.col("k"))
+    own = {k: _token(k, "window", F.col("off")) for k in (1, 2, 3)}
+    token = F.when(F.col("k") == 1, own[1]).when(F.col("k") == 2, own[2]).otherwise(own[3])
     return spots.select("item_id", "len", "window", "k", "off", token.alias("token"))
 
 
@@ -63,8 +54,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDO
     kinds = sorted(r["k"] for r in spots.select("k").distinct().collect()) or [SHINGLE_WORDS]
     tokens = spots.select("k", "token").distinct()
     n_tokens, n_windows = tokens.count(), spots.select("item_id", "window").distinct().count()
-    texts = with_text_keys(docs.select("doc_id", "text")).select("doc_id", *TEXT_KEYS, words_of(F.col("text")).alias("w"))
-    spread = _zipped(texts, "w").select("doc_id", *TEXT_KEYS, "w", F.posexplode_outer("z").alias("pos", "z"))
+    texts = with_text_keys(docs.select("doc_id", "text")).select("doc_id", *TEXT_KEYS, quick_words_of(F.col("text")).alias("w"))
+    # Shingles are read from the words where they stand: arrays of them would take several times a text's memory.
+    spread = texts.select("doc_id", *TEXT_KEYS, "w", F.posexplode_outer("w").alias("pos", "word"))
 
     # Rarity: in how many places of all documents each of the benchmark's shingles stands.
     if n_tokens <= block * WINDOW_WORDS:
@@ -73,7 +65,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDO
         small = lambda df: df
     counts = None
     for k in kinds:
-        own = spread.select(_token(k).alias("token")).join(small(tokens.filter(F.col("k") == k).select("token")), "token")
+        own = spread.select(_token(k, "w", F.col("pos")).alias("token")).join(small(tokens.filter(F.col("k") == k).select("token")), "token")
         found = own.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("k", F.lit(k))
         counts = found if counts is None else counts.unionByName(found)
     ranked = spots.join(counts, ["k", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -87,7 +79,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_WINDO
             mine = prefix.filter((F.col("k") == k) & (F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == number)).drop("k")
             # Of the windows that a document's first place meets only one carries n_words on.
             mine = mine.withColumn("nth", F.row_number().over(W.partitionBy("token").orderBy("item_id", "window")))
-            at = spread.withColumn("token", _token(k)).join(F.broadcast(mine), "token", "left")
+            at = spread.withColumn("token", _token(k, "w", F.col("pos"))).join(F.broadcast(mine), "token", "left")
             start = F.col("pos") - F.col("off")
             inside = F.col("len").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("w"))
             same = inside & F.when(inside, F.slice("w", start + 1, F.col("len")) == F.col("window")).otherwise(F.lit(False))

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.llm.components import connected_components
-from evidara.llm.runtime import TEXT_KEYS, checkpointed, mix64, small, to_signed, with_text_keys
+from evidara.llm.runtime import TEXT_KEYS, checkpointed, giving_back, mix64, small, to_signed, with_text_keys
 
 #: Frequent shingles whose counts order the rest by rarity, at most: a fixed size, whatever the corpus.
 FREQUENT_SHINGLES = 1 << 20
@@ -210,7 +210,7 @@ def _statistics(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, di
         keys, counts = np.fromiter(sizes.keys(), np.int64, len(sizes)), np.fromiter(sizes.values(), np.int64, len(sizes))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(counts)], ["kind", "key", "n"])
 
-    rows = checkpointed(docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    rows = checkpointed(docs.select("text").mapInArrow(giving_back(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     level = (F.floor(F.log2(F.col("n").cast("double")) * 2)).cast("int")
     found = rows.filter("kind = 0 AND n > 3")
     by_level = {r["level"]: r["n"] for r in found.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -290,7 +290,7 @@ def _signatures(docs: DataFrame, width: int, overlap: Overlap, boundary: int, fr
     return (
         with_text_keys(docs.select("doc_id", "text"))
         .select("doc_id", *TEXT_KEYS, "text")
-        .mapInArrow(sign, f"doc_id {kind}, {TEXT_KEYS[0]} long, {TEXT_KEYS[1]} long, n long, s1 long, s2 long, profile binary, heavy array<long>, light array<binary>, pair array<int>")
+        .mapInArrow(giving_back(sign), f"doc_id {kind}, {TEXT_KEYS[0]} long, {TEXT_KEYS[1]} long, n long, s1 long, s2 long, profile binary, heavy array<long>, light array<binary>, pair array<int>")
     )
 
 
@@ -327,7 +327,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
             yield batch.select(names).filter(pa.array(np.abs(pa_ - pb).sum(axis=1) <= allowed))
 
     names = pairs.columns
-    return _joined(pairs, left, right).select(*names, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(kept))
+    return _joined(pairs, left, right).select(*names, "na", "nb", "pa", "pb").mapInArrow(giving_back(check), ", ".join(kept))
 
 
 def _texts(docs: DataFrame, groups: DataFrame, ends: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int,
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = _joined(pairs, ends["a"].toDF("a", "ta"), ends["b"].toDF("b", "tb"))
-    return whole.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return whole.select("a", "b", "ta", "tb").mapInArrow(giving_back(check), "a long, b long")
 
 
 def _open_pairs(left: DataFrame, threshold: tuple[int, int]) -> DataFrame:

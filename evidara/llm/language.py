@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidara.llm.runtime import crc_residue, slices
+from evidara.llm.runtime import crc_residue, giving_back, slices
 
 UNDETERMINED = "und"
 PROFILE_GRAMS = 400
@@ -138,7 +138,7 @@ def fit_profiles(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, grams: i
             rows = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(giving_back(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= grams).orderBy("lang", "rank").collect()
     out: dict[str, list[str]] = {}
@@ -195,7 +195,7 @@ def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], least: floa
                 yield batch.slice(at, len(texts)).filter(pa.array([kept(t) for t in texts.to_pylist()], pa.bool_()))
                 at += len(texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.runtime import mix64, runs
+from evidara.llm.runtime import giving_back, mix64, runs
 
 DEFAULT_MODEL = os.environ.get("EVIDARA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -303,7 +303,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", seed: int = 1, power:
                 at += len(texts)
 
     hashed = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(key).cast("string")))
-    return docs.select(key, hashed.alias("__key"), "text").mapInArrow(run, f"`{key}` {kind}, ids array<int>, " + ("n_ids long, lossless boolean" if check else "decoded string"))
+    return docs.select(key, hashed.alias("__key"), "text").mapInArrow(giving_back(run), f"`{key}` {kind}, ids array<int>, " + ("n_ids long, lossless boolean" if check else "decoded string"))
 
 
 def decode_documents(tokens: DataFrame, key: str = "doc_id", vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +132,22 @@ def slices(column: pa.Array, most: int = 1_000_000, rows: int = 2000):
         at = to
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker gives free memory back to the system at the end of a task.
+
+    A worker stays idle beside what its executor does next, and would keep all that its tasks took.
+    """
+
+    def held(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+        if trim is not None:
+            trim(0)
+
+    return held
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Over how many partitions a shuffle deals rows: the number of salts that spreads one key over all of them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
