@@ -13,6 +13,7 @@ import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from evidara.operators.checks import ContractError
 
@@ -59,8 +60,14 @@ class Snapshots:
         writer.parquet(f"{self.folder}/{path}")
         return path
 
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{path}")
+    def read(self, path: str, schema: StructType | None = None) -> DataFrame:
+        """What was written; rows dealt to folders need their ``schema`` where there may be none of them."""
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.folder}/{path}")
+
+    def drop(self, path: str) -> None:
+        """Delete data that no version names."""
+        self._fs.delete(self._path(f"{self.folder}/{path}"), True)
 
     def commit(self, base: int, content: dict) -> int:
         """Make ``content`` the version after ``base``; refused if that exists already."""

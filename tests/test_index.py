@@ -110,3 +110,39 @@ def test_chunks_are_replaced_whole(spark, tmp_path):
     with pytest.raises(StaleVersionError):
         store.replace(spark.createDataFrame(new, schema), docs, ["b"], base=1)
     assert sorted(map(tuple, store.chunks().collect())) == sorted(expected)
+
+
+def test_pairs_of_query_and_document_are_never_shuffled(spark, tmp_path):
+    asked = spark.createDataFrame([(i, f"w1 w2 w{3 + i % 20} w{i}") for i in range(30)] + [(99, "absent")], "query_id long, text string")
+    rows = texts(5, 400)
+    index = LexicalIndex(spark, str(tmp_path), buckets=2, block=8)
+    index.refresh(frame(spark, {i: (t, x) if i % 3 else (t, "other") for i, (t, x) in rows.items()}))
+    index.refresh(frame(spark, rows))
+    found = index.search(asked, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan and "Aggregate [doc_id" in plan
+    assert answers(found) == answers(lexical.bm25_search(asked, frame(spark, rows), 5))
+    assert index.search(asked.filter("query_id = 99"), 5).count() == 0
+
+
+def test_blocks_are_cut_where_their_postings_stand(spark, tmp_path):
+    index = LexicalIndex(spark, str(tmp_path), buckets=2, block=8)
+    index.refresh(frame(spark, texts(6, 200)))
+    blocks = index.store.read(index.store.manifest()["segments"][0]["blocks"]).collect()
+    postings = lexical.postings(frame(spark, texts(6, 200))).collect()
+    assert sorted((b.term, p.doc_id, p.tf, p.dl) for b in blocks for p in b.postings) == sorted((p.term, p.doc_id, p.tf, p.dl) for p in postings)
+    for b in blocks:
+        assert (b.n, b.max_tf, b.min_dl) == (len(b.postings), max(p.tf for p in b.postings), min(p.dl for p in b.postings)) and b.n <= 8 and b.low <= b.high
+    assert len({(b.term, b.chunk) for b in blocks}) == len(blocks)
+    made = index._blocks(lexical.postings(frame(spark, texts(6, 200))), 10.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("RepartitionByExpression") == 1 and "Aggregate [bucket" not in made  # postings go once, by ranges
+    assert not list(tmp_path.glob("data/incoming-*"))
+
+
+def test_a_segment_without_postings_can_be_read(spark, tmp_path):
+    asked = spark.createDataFrame(QUERIES, "query_id long, text string")
+    rows = texts(7, 60)
+    index = LexicalIndex(spark, str(tmp_path), buckets=2, block=8)
+    index.refresh(frame(spark, rows))
+    index.refresh(frame(spark, rows))  # nothing is new
+    assert answers(index.search(asked, 5)) == answers(lexical.bm25_search(asked, frame(spark, rows), 5))
